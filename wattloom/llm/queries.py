@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, packing, secrets, sstable
+from . import line_dedup, media, mixing, packing, secrets, sstable, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        toxicity.op2_toxic_spans,
         sstable.op3_sst_tokens,
         secrets.op4_secret_ledger,
         line_dedup.op6_line_dedup,
