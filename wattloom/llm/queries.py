@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, packing, secrets, sstable, toxicity
+from . import line_dedup, media, mixing, ngram_join, packing, secrets, sstable, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,10 +10,11 @@ QUERIES = {
         toxicity.op2_toxic_spans,
         sstable.op3_sst_tokens,
         secrets.op4_secret_ledger,
+        ngram_join.op5_ngram_join,
         line_dedup.op6_line_dedup,
         packing.op7_tier_packing,
         mixing.op8_source_mix,
         media.op10_tar_media,
     )
 }
-ORACLES = {"op6_line_dedup": line_dedup.OP6_SQL, "op8_source_mix": mixing.OP8_SQL}
+ORACLES = {"op5_ngram_join": ngram_join.OP5_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op8_source_mix": mixing.OP8_SQL}
