@@ -27,6 +27,7 @@ _PAD = b"\xff"
 _PNG = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and header chunk
 _ROLL = 512 << 20  # bytes after which a task begins another shard
+_SHARD_BITS = 12  # of a shard's number in its task
 
 
 def payload_of(text: bytes) -> bytes:
@@ -97,9 +98,13 @@ class _TarShard:
         self.out.close()
 
 
+def shard_uri(where: str, shard: int) -> str:
+    return f"{where}/media-{shard >> _SHARD_BITS:08d}-{shard & (1 << _SHARD_BITS) - 1:04d}.tar"
+
+
 def store_media(docs: DataFrame, where: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Writes every payload of ``docs`` into tar shards; returns (key, n_bytes, digest, shard, offset,
-    length): where the image of the row's text lies.
+    """Writes every payload of ``docs`` into tar shards of the folder ``where``; returns (key, n_bytes,
+    digest, shard, offset, length): where the image of the row's text lies.
 
     A null or empty text is one row of padding.  Equal texts share one digest and one place: a task
     stores a payload once, and where several tasks stored it all rows point to the first shard's
@@ -121,21 +126,21 @@ def store_media(docs: DataFrame, where: str, text: str = "text", key: str = "doc
                     if shard is None or shard.out.size > _ROLL:
                         if shard is not None:
                             shard.close()
-                        uri = f"{where}/media-{task:08d}-{n_shards:04d}.tar"
-                        shard, n_shards = _TarShard(uri), n_shards + 1
+                        number = (task << _SHARD_BITS) + n_shards
+                        shard, n_shards = _TarShard(shard_uri(where, number)), n_shards + 1
                     image = encode_png(payload)
-                    seen[digest] = (uri, shard.add(f"{digest.hex()}.png", image), len(image))
+                    seen[digest] = (number, shard.add(f"{digest.hex()}.png", image), len(image))
                 sizes.append(len(t))
                 digests.append(digest)
                 places.append(seen[digest])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array([p[i] for p in places], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64())))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array([p[i] for p in places], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64())))],
                 [key, "n_bytes", "digest", "shard", "offset", "length"],
             )
         if shard is not None:
             shard.close()
 
-    stored = C.durable(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows", f"{where}/rows")
+    stored = C.durable(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, digest binary, shard long, offset long, length long"), "media-rows", f"{where}/rows")
     first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
     objects = C.durable(first.select("digest", "place.*"), "media-objects", f"{where}/objects")
     return stored.select(key, "n_bytes", "digest").join(objects, "digest").select(key, "n_bytes", "digest", "shard", "offset", "length")
@@ -149,23 +154,23 @@ def _by_shard(objects: DataFrame) -> DataFrame:
 class _Shards:
     """Range reads; one shard is open at a time."""
 
-    def __init__(self):
-        self.uri, self.file = None, None
+    def __init__(self, where: str):
+        self.where, self.shard, self.file = where, None, None
 
-    def read(self, uri: str, offset: int, n: int) -> bytes:
-        if uri != self.uri:
-            system, path = C.files_of(uri)
-            self.uri, self.file = uri, system.open_input_file(path)
+    def read(self, shard: int, offset: int, n: int) -> bytes:
+        if shard != self.shard:
+            system, path = C.files_of(shard_uri(self.where, shard))
+            self.shard, self.file = shard, system.open_input_file(path)
         self.file.seek(offset)
         return self.file.read(n)
 
 
-def read_metadata(objects: DataFrame) -> DataFrame:
+def read_metadata(objects: DataFrame, where: str) -> DataFrame:
     """(digest, width, height, bit_depth, color_type) of (digest, shard, offset, length), from the
     first 33 bytes of each image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards()
+        shards = _Shards(where)
         for batch in batches:
             heads = [read_header(shards.read(u, o, HEADER)) for u, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             cols = list(zip(*heads, strict=True)) or [()] * 4
@@ -174,17 +179,17 @@ def read_metadata(objects: DataFrame) -> DataFrame:
     return _by_shard(objects.select("digest", "shard", "offset")).mapInArrow(run, "digest binary, width int, height int, bit_depth int, color_type int")
 
 
-def read_payloads(objects: DataFrame) -> DataFrame:
+def read_payloads(objects: DataFrame, where: str) -> DataFrame:
     """(digest, payload, media): the payload decoded from the stored bytes, and those bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards()
+        shards = _Shards(where)
         for batch in batches:
             rows: list[tuple] = []
             for digest, *place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 media = shards.read(*place)
                 rows.append((digest, decode_png(media), media))
-                if sum(len(r[1]) for r in rows[-1:]) and len(rows) >= 500:
+                if len(rows) >= 500:
                     yield _out(rows)
                     rows = []
             if rows:
@@ -196,35 +201,32 @@ def read_payloads(objects: DataFrame) -> DataFrame:
     return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(run, "digest binary, payload binary, media binary")
 
 
-def read_features(objects: DataFrame) -> DataFrame:
+def read_features(objects: DataFrame, where: str) -> DataFrame:
     """Digests of what is stored, by reading each object once: (digest, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature)."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards()
+        shards = _Shards(where)
         for batch in batches:
             rows = []
             for digest, *place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 media = shards.read(*place)
                 payload = decode_png(media)
-                rows.append((digest, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), sha256(media).hexdigest(), feature_of(payload, read_header(media))))
+                rows.append((digest, len(payload), sha256(payload).digest(), zlib.crc32(payload[-32:]), len(media), sha256(media).digest(), feature_of(payload, read_header(media))))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def objects_of(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest").agg(F.first(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def op10_tar_media(spark, sf_dir: str) -> DataFrame:
     where = C.shared_dir(spark, "media")
     rows = store_media(C.documents(spark, sf_dir), where)
     objects = spark.read.parquet(f"{where}/objects")
-    known = read_metadata(objects).join(read_features(objects), "digest")
-    return rows.join(C.durable(known, "media-known", f"{where}/known"), "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "offset"
+    known = C.durable(read_metadata(objects, where).join(read_features(objects, where), "digest"), "media-known", f"{where}/known")
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.join(known, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature", "width", "height", "bit_depth", "shard", "offset"
     )
