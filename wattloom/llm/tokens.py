@@ -14,13 +14,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[ \n.,;:!?]|\Z)|[ \n]*[^ \n]+|[ \n]+").findall
+_WORD = re.compile(rf"[{_LETTERS}]+(?=[ \n.,;:!?]|\Z)|[^ \n]+").findall
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
 _ODD = re.compile(r"[^\S \n]|<\|").search
-_TOGETHER = 400_000  # characters whose unknown chunks are encoded in one call
+_WIDE = re.compile(r"[^\x00-\xff]").search
 
 
 def _byte_letters() -> dict[int, int]:
@@ -31,81 +32,63 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BLANK = chr(_BYTE_LETTERS[32])
+
+
+class _Known(dict):
+    """Chunk to ids; looks up what it has not met and forgets everything beyond ``room`` entries."""
+
+    def __init__(self, look_up: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.look_up, self.room = look_up, room
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > self.room:
+            self.clear()
+        self[chunk] = ids = self.look_up(chunk)
+        return ids
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+    """Encodes texts to little-endian unsigned 32-bit ids; null and empty texts have none.
 
-    ``room`` bounds the dictionary: beyond it the older half of the entries goes.  Null and empty
-    texts have no ids.
+    Tokenizers that mark the ends of words drop white space and case, so blanks and (within Latin-1,
+    where it means the same to all) case are left out of their chunks.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.ends_words = getattr(self.model, "end_of_word_suffix", None) is not None
-        self.room = room
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.chunks = _WORD if self.ends_words else _CHUNK
+        self.known = _Known(self._chunk, room)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
+        if not _PLAIN(chunk):
+            return self._whole(chunk)
         if self.ends_words:
-            chunk = chunk.lstrip(" ").lower()
-        spelled = chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            chunk = chunk.lower()
+        spelled = chunk.replace(" ", _BLANK) if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.room:
-            self.known, self.older = {}, self.known
-        rest = []
-        for c in chunks:
-            if (ids := self.older.get(c)) is not None:
-                self.known[c] = ids
-            elif _PLAIN(c):
-                self.known[c] = self._letters(c)
-            else:
-                rest.append(c)
-        self.known.update(zip(rest, self._whole(rest), strict=True))
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one whole text."""
+        if not text:
+            return b""
+        if _ODD(text):
+            return self._whole(text)
+        if self.ends_words and not _WIDE(text):
+            text = text.lower()
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each whole text, in order."""
-        held: list[list[str] | bytes] = []
-        size = 0
-        for text in texts:
-            if not text:
-                held.append(b"")
-            elif _ODD(text):
-                held.append(self._whole([text])[0])
-            else:
-                held.append(_CHUNK(text))
-                size += len(text)
-            if size > _TOGETHER:
-                yield from self._release(held)
-                held, size = [], 0
-        yield from self._release(held)
-
-    def _release(self, held: list[list[str] | bytes]) -> Iterator[bytes]:
-        new = set().union(*(x for x in held if isinstance(x, list))).difference(self.known)
-        if new:
-            self._learn(new)
-        for x in held:
-            if isinstance(x, bytes):
-                yield x
-                continue
-            try:
-                yield b"".join(map(self.known.__getitem__, x))
-            except KeyError:  # the dictionary was halved meanwhile
-                self._learn(set(x).difference(self.known))
-                yield b"".join([self.known[c] if c in self.known else self.older[c] for c in x])
-
-    def encode(self, text: str | None) -> bytes:
-        return next(iter(self.encode_many([text])))
+        return map(self.encode, texts)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
