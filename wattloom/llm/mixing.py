@@ -12,7 +12,9 @@ _ADDED = ["size", "source_size", "target", "taken"]
 
 
 def words(text: str | Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(C.WORDS)), F.lit(0)).cast("long")
+    """Runs of other characters than ASCII white space: each becomes one mark, so no list of words is made."""
+    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")
+    return F.coalesce(F.length(F.rtrim(marks, F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)).cast("long")
 
 
 def water_fill(sources: DataFrame, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -20,8 +22,10 @@ def water_fill(sources: DataFrame, cap: float, weights: tuple[int, ...]) -> Data
     null last; a target stops at ``cap`` times its source's size and the excess is shared anew by
     weight until none is above.
 
-    In order of room per weight, the sources below the final level are a prefix; the level is what is
-    left over them, by the weight left.  The windows run over one row for each source.
+    In order of room per weight, the sources that stop at their caps are a prefix.  The level of a
+    prefix is what its caps leave, by the weight left; it rises while the next source stops below it
+    and falls from then on, so the final level is the highest.  The windows run over one row for each
+    source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     nth = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -34,9 +38,9 @@ def water_fill(sources: DataFrame, cap: float, weights: tuple[int, ...]) -> Data
         .withColumn("all_size", F.sum("source_size").over(everything))
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("level", (F.col("all_size").cast("double") - F.col("before")) / (F.col("all_weight") - F.col("weight_before")))
-        .withColumn("level", F.min(F.when(F.col("most") > F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+        .withColumn("level", F.max("level").over(everything))
     )
-    return left.select("source", "source_size", "n", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    return left.select("source", "source_size", "n", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
@@ -99,8 +103,7 @@ filled AS (
 ),
 levels AS (SELECT *, (CAST(all_size AS DOUBLE) - before) / CAST(all_weight - weight_before AS DOUBLE) AS lv FROM filled),
 targets AS (
-  SELECT source, source_size, n, least(most, coalesce(level * weight, most)) AS target
-  FROM (SELECT *, min(CASE WHEN most > lv * weight THEN lv END) OVER () AS level FROM levels)
+  SELECT source, source_size, n, least(most, level * weight) AS target FROM (SELECT *, max(lv) OVER () AS level FROM levels)
 ),
 dealt AS (
   SELECT d.*, t.source_size, t.target, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % CAST(ceil(n / 200.0) AS BIGINT) AS salt,
