@@ -176,6 +176,7 @@ def drop_repeated_lines(
     segments = segments or max(1, min(500_000, C.bytes_of(docs) // _SEGMENT_BYTES))
     held = C.durable(suspected(docs, text, key, min_chars, segments, broadcast_bytes).distinct(), "line-suspects")
     common = held.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs).select("digest", "keep")
+    common = C.durable(common, "common-lines")  # as a table, so that a join on a very common line is split
     drops = held.join(common, "digest").filter(~F.col("doc").eqNullSafe(F.col("keep"))).groupBy(F.col("doc").alias("_w_doc")).agg(F.collect_list("digest").alias("_w_drops"))
     kept = C.adding(docs, ["n_lines", "n_dropped"])
     rows = docs.select(*kept).join(drops, F.col(key).eqNullSafe(F.col("_w_doc")), "left").drop("_w_doc")
