@@ -30,7 +30,7 @@ def sum_or_zero(x: Column) -> Column:
 def quantile_nearest(x: str | Column, q: float) -> Column:
     """The value at index round((n - 1) * q), half up, of the sorted non-null values; null if none."""
     values = F.sort_array(F.collect_list(col(x)))
-    return F.try_element_at(values, F.round((F.count(col(x)) - 1) * F.lit(q)).cast("int") + 1)
+    return F.try_element_at(values, F.greatest(F.round((F.count(col(x)) - 1) * F.lit(q)).cast("int") + 1, F.lit(1)))
 
 
 def safe_corr(a: str | Column, b: str | Column, where: Column | None = None, least: int = 30) -> Column:

@@ -75,7 +75,7 @@ def usable_features(df: DataFrame, excluded: list[str]) -> list[str]:
     if not names:
         return []
     kinds = dict(df.dtypes)
-    known = df.agg(*[F.count(F.when(~F.isnan(c), 1) if kinds[c] in ("float", "double") else F.col(c)).alias(c) for c in names]).first()
+    known = df.agg(*[F.count(F.when(F.col(c).isNotNull() & ~F.isnan(c), 1) if kinds[c] in ("float", "double") else F.col(c)).alias(c) for c in names]).first()
     return [c for c in names if known[c]]
 
 
