@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import os
+import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,7 +40,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    made = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _made.append(made)
+    return made
+
+
+@atexit.register
+def clear() -> None:
+    """Removes the folders that this driver has made; results that read them must have been used.
+
+    Called at exit. On stores other than a mounted file system the folders stay.
+    """
+    while _made:
+        parts = urlsplit(_made.pop())
+        if parts.scheme == "file":
+            shutil.rmtree(parts.path, ignore_errors=True)
 
 
 def durable(df: DataFrame, name: str, where: str | None = None) -> DataFrame:
@@ -64,6 +85,25 @@ def put_file(uri: str, write: Callable) -> None:
     system.move(part, path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on and would keep a task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that trims the worker's memory after each task."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
 def map_batches(df: DataFrame, per_task: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with state that begins anew in each task."""
 
@@ -72,7 +112,7 @@ def map_batches(df: DataFrame, per_task: Callable[[], Callable[[pa.RecordBatch],
         for batch in batches:
             yield from one(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def uniform(seed: int, *cols: str | Column) -> Column:

@@ -140,7 +140,7 @@ def store_media(docs: DataFrame, where: str, text: str = "text", key: str = "doc
         if shard is not None:
             shard.close()
 
-    stored = C.durable(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, digest binary, shard long, offset long, length long"), "media-rows", f"{where}/rows")
+    stored = C.durable(docs.select(key, text).mapInArrow(C.tidy(run), f"`{key}` {kind}, n_bytes long, digest binary, shard long, offset long, length long"), "media-rows", f"{where}/rows")
     first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
     objects = C.durable(first.select("digest", "place.*"), "media-objects", f"{where}/objects")
     return stored.select(key, "n_bytes", "digest").join(objects, "digest").select(key, "n_bytes", "digest", "shard", "offset", "length")
@@ -176,7 +176,7 @@ def read_metadata(objects: DataFrame, where: str) -> DataFrame:
             cols = list(zip(*heads, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int32()) for c in cols)], ["digest", "width", "height", "bit_depth", "color_type"])
 
-    return _by_shard(objects.select("digest", "shard", "offset")).mapInArrow(run, "digest binary, width int, height int, bit_depth int, color_type int")
+    return _by_shard(objects.select("digest", "shard", "offset")).mapInArrow(C.tidy(run), "digest binary, width int, height int, bit_depth int, color_type int")
 
 
 def read_payloads(objects: DataFrame, where: str) -> DataFrame:
@@ -198,7 +198,7 @@ def read_payloads(objects: DataFrame, where: str) -> DataFrame:
     def _out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "payload", "media"])
 
-    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(run, "digest binary, payload binary, media binary")
+    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(C.tidy(run), "digest binary, payload binary, media binary")
 
 
 def read_features(objects: DataFrame, where: str) -> DataFrame:
@@ -218,7 +218,7 @@ def read_features(objects: DataFrame, where: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
+    return _by_shard(objects.select("digest", "shard", "offset", "length")).mapInArrow(C.tidy(run), "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def op10_tar_media(spark, sf_dir: str) -> DataFrame:

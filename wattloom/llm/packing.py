@@ -196,7 +196,7 @@ def pack(
         if rows:
             yield out()
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {PIECE}")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(C.tidy(run), f"`{key}` {kind}, {PIECE}")
 
 
 def op7_tier_packing(spark, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ class BlobLedger:
                 found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _TYPE)], ["sha", "findings"])
 
-        scanned = unseen.select("sha", "content").mapInArrow(run, f"sha string, findings {_FOUND}").dropDuplicates(["sha"])
+        scanned = unseen.select("sha", "content").mapInArrow(C.tidy(run), f"sha string, findings {_FOUND}").dropDuplicates(["sha"])
         scanned.write.mode("overwrite").parquet(f"{self.root}/scans/rules={self.rules}/batch={batch}")
 
     def findings(self, kind: str = "string") -> DataFrame:

@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str, end_id: int, text:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [task], "uri": [uri], "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    return C.durable(dealt.mapInArrow(run, "shard long, uri string, first long, last long, n_docs long, n_tokens long"), "sst-manifest", f"{where}/manifest")
+    return C.durable(dealt.mapInArrow(C.tidy(run), "shard long, uri string, first long, last long, n_docs long, n_tokens long"), "sst-manifest", f"{where}/manifest")
 
 
 def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -230,7 +230,7 @@ def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [key, "start", "n_tokens", "ids"])
 
-    return work.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids binary")
+    return work.mapInArrow(C.tidy(run), f"`{key}` long, start long, n_tokens long, ids binary")
 
 
 def look_up(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -249,7 +249,7 @@ def look_up(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> Data
             at = [sent.value[max(0, bisect_right(firsts, key_of(k)) - 1)][1] for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.string())], ["k", "uri"])
 
-    pairs = wanted.select(F.col(key).cast("long").alias("k")).distinct().mapInArrow(route, "k long, uri string")
+    pairs = wanted.select(F.col(key).cast("long").alias("k")).distinct().mapInArrow(C.tidy(route), "k long, uri string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, reader = None, None
@@ -260,7 +260,7 @@ def look_up(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> Data
                 if found := reader.get(k):
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.binary())], [key, "ids"])
 
-    return pairs.repartition("uri").sortWithinPartitions("uri", "k").mapInArrow(run, f"`{key}` long, ids binary")
+    return pairs.repartition("uri").sortWithinPartitions("uri", "k").mapInArrow(C.tidy(run), f"`{key}` long, ids binary")
 
 
 def op3_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

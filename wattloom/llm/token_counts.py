@@ -119,7 +119,7 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
             n = [len(ids) // 4 for ids in enc.encode_many(b.column(len(kept) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept) + 1], pa.array(n, pa.int64())], [*kept, "word_tokens", "bpe_tokens"])
 
-    return sized.mapInArrow(run, docs.select(*kept).schema.add("word_tokens", "long").add("bpe_tokens", "long"))
+    return sized.mapInArrow(C.tidy(run), docs.select(*kept).schema.add("word_tokens", "long").add("bpe_tokens", "long"))
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

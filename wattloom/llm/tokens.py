@@ -56,7 +56,7 @@ class ChunkEncoder:
     where it means the same to all) case are left out of their chunks.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -97,7 +97,7 @@ def near_vectors(
                 blobs = [u.tobytes() if good else None for u, good in zip(unit, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["key", "unit"])
 
-    marked = C.durable(rows.mapInArrow(mark, "key long, unit binary"), "vectors", f"{where}/units")
+    marked = C.durable(rows.mapInArrow(C.tidy(mark), "key long, unit binary"), "vectors", f"{where}/units")
     usable = marked.filter("unit is not null and key is not null")
     nodes = usable.groupBy("unit").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
     nodes = C.durable(nodes.select(F.col("node"), "copies", "unit"), "vectors", f"{where}/nodes")
@@ -121,7 +121,7 @@ def near_vectors(
                 near = np.sort(near, axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(near.tolist(), pa.list_(pa.int32()))], ["name", "copies", "unit", "cells"])
 
-    placed = C.durable(named.select("name", "copies", "unit").mapInArrow(assign, "name long, copies long, unit binary, cells array<int>"), "vectors", f"{where}/placed")
+    placed = C.durable(named.select("name", "copies", "unit").mapInArrow(C.tidy(assign), "name long, copies long, unit binary, cells array<int>"), "vectors", f"{where}/placed")
     per_cell = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
     in_cell = placed.select("name", "copies", "unit", "cells", F.explode("cells").alias("cell")).join(C.durable(per_cell, "vectors", f"{where}/per-cell"), "cell")
     own = F.pmod(F.xxhash64("name", F.lit(seed)), F.col("blocks")).cast("int")
