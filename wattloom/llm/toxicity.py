@@ -13,6 +13,7 @@ the marginal's odds are a*b.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -90,7 +91,7 @@ class Model:
 class _Odds(dict):
     """Word to log odds; forgets everything when full."""
 
-    def __init__(self, model: Model, room: int = 500_000):
+    def __init__(self, model: Model, room: int = 150_000):
         super().__init__()
         self.model, self.room = model, room
 
@@ -149,45 +150,55 @@ def _unlike(texts: list[bytes], labels: list[int]) -> list[int]:
 def token_labels(texts: list[bytes], labels: list[int]) -> set[bytes]:
     """Features (words, beginnings) that tell toxic documents apart, by the likelihood ratio of
     document counts, beyond what the number of features tried makes likely by chance."""
-    toxic, clean = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        own = {f for w in set(t.lower().split()) for f in features(w) if len(f) > 4}
-        (toxic if y else clean).update(own)
     n1, n0 = sum(labels), len(labels) - sum(labels)
     if not n1 or not n0:
         return set()
-    least = 2 + 2 * np.log(len(toxic) + len(clean) + 1)
+    toxic: dict[bytes, int] = {}
+    tried = 0
+    for kind in range(5):  # one kind after the other, so that only one count of rare features is held
+        count = Counter(f for t, y in zip(texts, labels, strict=True) if y for f in {features(w)[kind] for w in t.lower().split()} if len(f) > 4)
+        tried += len(count)
+        toxic.update((f, n) for f, n in count.items() if n >= 3)
+    clean: Counter = Counter()
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            clean.update({f for w in set(t.lower().split()) for f in features(w) if f in toxic})
+    least = 2 + 2 * np.log(tried + 1)
     found = set()
     for f, k1 in toxic.items():
         k0, p1, p0 = clean.get(f, 0), k1 / n1, clean.get(f, 0) / n0
-        if p1 > 4 * p0 and k1 >= 3:
+        if p1 > 4 * p0:
             p = (k1 + k0) / (n1 + n0)
             if 2 * (k1 * np.log(p1 / p) + (k0 * np.log(p0 / p) if k0 else 0.0) + (n1 - k1) * np.log((1 - p1 + 1e-12) / (1 - p)) + (n0 - k0) * np.log((1 - p0) / (1 - p))) >= least:
                 found.add(f)
     return found
 
 
-def fit_chain(texts: list[bytes], labels: list[int], rounds: int = 80, most_lines: int = 12_000) -> Model:
+def fit_chain(texts: list[bytes], labels: list[int], rounds: int = 80, most_tokens: int = 500_000) -> Model:
+    """Fits the chain to lines with a token that tells, and to lines of clean documents, spread evenly:
+    at most ``most_tokens`` in all, the former a third of them."""
     model = Model()
     telling = token_labels(texts, labels)
     hot: list[tuple[list[bytes], np.ndarray]] = []
-    cold: list[list[bytes]] = []
+    cold: list[bytes] = []
     for t, y in zip(texts, labels, strict=True):
         for line in t.lower().split(b"\n"):
-            words = line.split()[:400]
+            words = line.split()[:1000]
             marks = np.array([y and any(f in telling for f in features(w)) for w in words], dtype=bool)
             if marks.any():
                 hot.append((words, marks))
             elif words and not y:
-                cold.append(words)
-    hot = hot[: most_lines // 3]
-    step = max(1, len(cold) // max(1, most_lines - len(hot)))
-    lines = hot + [(w, np.zeros(len(w), dtype=bool)) for w in cold[::step][: most_lines - len(hot)]]
+                cold.append(line)
+    hot = hot[: int(np.searchsorted(np.cumsum([len(w) for w, _ in hot]), most_tokens // 3)) + 1]
+    sizes = np.cumsum([line.count(b" ") + 1 for line in cold])
+    step = -(-int(sizes[-1]) // (most_tokens * 2 // 3)) if cold else 1
+    lines = hot + [(w, np.zeros(len(w), dtype=bool)) for w in (line.split()[:1000] for line in cold[::step])]
     if not hot:
         model.bias = -8.0
         return model
     number: dict[bytes, int] = {}
-    index = np.array([[number.setdefault(f, len(number)) for f in features(w)] for words, _ in lines for w in words], dtype=np.int64)
+    flat = array("i", (number.setdefault(f, len(number)) for words, _ in lines for w in words for f in features(w)))
+    index = np.frombuffer(flat, dtype=np.int32).reshape(-1, 5)
     y = np.concatenate([m for _, m in lines]).astype(np.float64)
     lengths = np.array([len(w) for w, _ in lines], dtype=np.int64)
     last = np.cumsum(lengths) - 1
@@ -211,7 +222,7 @@ def fit_chain(texts: list[bytes], labels: list[int], rounds: int = 80, most_line
         g -= 0.05 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    model.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}
+    model.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 0.01}
     model.bias, model.log_start, model.log_step = float(w[-6]), float(w[-5]), w[-4:].reshape(2, 2).copy()
     return model
 
@@ -235,7 +246,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_label: int = 2500, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_label: int = 2000, seed: int = 5) -> Model:
     """Fits on at most ``per_label`` rows of either label, drawn by a seeded hash among labelled rows
     that are not held out.  Without rows of both labels the model scores every text low."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col("toxic").cast("int").alias("y")).join(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k")), "k", "left_semi")
@@ -252,6 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     split = [i % 4 == 3 for i in range(len(texts))]
     model = fit_chain([t for t, s in zip(texts, split, strict=True) if not s], [y for y, s in zip(ys, split, strict=True) if not s])
     model.curve = fit_curve(model, [t for t, s in zip(texts, split, strict=True) if s], [y for y, s in zip(ys, split, strict=True) if s])
+    C.trim()
     return model
 
 
@@ -292,8 +304,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             scores, spans = [], []
-            for i in range(0, len(texts), 2000):
-                some = texts[i : i + 2000]
+            for i in range(0, len(texts), 1000):
+                some = texts[i : i + 1000]
                 for t, (s, own) in zip(some, scorer.score(some), strict=True):
                     scores.append(s)
                     spans.append(spans_of(t or b"", own))
@@ -305,7 +317,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     schema = docs.select(*kept).schema
     for f in extra:
         schema = schema.add(f)
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(C.tidy(run), schema)
 
 
 def op2_toxic_spans(spark, sf_dir: str) -> DataFrame:
