@@ -172,8 +172,9 @@ def test_near_copies_of_large_groups_and_odd_rows(spark, monkeypatch):
     rows += [(400, None), (401, ""), (402, " \t\n"), (403, "One two"), (404, "one  TWO"), (405, "one two three"), (406, "y " * 4000), (407, "Y " * 3000), (408, "É b c d e f"), (409, "é b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(3)
     want = brute_components(rows)
-    for together in (64, 4):
+    for together, block in ((64, 512), (3, 512), (3, 20)):  # pairs at once; blocks of middle postings; pivots of large ones
         monkeypatch.setattr(ngram_join, "_TOGETHER", together)
+        monkeypatch.setattr(ngram_join, "_BLOCK", block)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_copies(df).collect())
         assert got == want
     monkeypatch.setattr(ngram_join, "_SENT_IDS", -1)
