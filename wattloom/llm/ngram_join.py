@@ -6,15 +6,19 @@ orders are used.  Both put shingles that many texts share last, by their counts,
 hash that orders the rest.  A pair is a candidate only if it shares a prefix shingle under both; the
 candidates of either order are intersected before any set is fetched.
 
-Shingles that stay in many prefixes all the same (large groups of near copies) would give pairs by
-the square.  Their postings are compared with pivots instead: a pivot meets every other node of its
-posting that is not yet in its component, and leaves.  Pivots double each round until every posting
-lies in one component, so no link between components is missed and few pairs are made.
+Shingles that stay in many prefixes all the same (large groups of near copies) would give links by
+the square.  Their postings first meet a few pivots, whose links bring most nodes into components;
+then only nodes of different components are compared, in blocks.  So no link between components is
+missed and few pairs are made.
+
+Before sets are fetched, pairs pass a lossless test on signatures of 1024 bits, one bit set for each
+shingle: bits that differ are at most the shingles that differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+_R = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse
 _SALTS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 _COMMON_ROOM = 1 << 21  # shingles that are sorted by count; a broadcast of 32 MB at most
-_TOGETHER = 64  # nodes of a posting whose pairs are made at once
+_TOGETHER = 6  # nodes of a posting whose pairs are made at once
+_DOCS = 3000  # documents whose shingles a task holds at once
+_BITS = 1024  # of a signature
+_PIVOTS = (1, 4, 8)  # that a large posting meets, round by round
+_BLOCK = 512  # nodes of a posting, or of a block of a large one, that are compared at once
 _SENT_IDS = 8 << 20  # identifiers that may be broadcast
 _ENTRY = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4")])
 
@@ -43,33 +52,73 @@ class Shingles:
     """Sets of whole texts: sorted 64-bit hashes of runs of ``width`` words.
 
     Words are runs of other bytes than ASCII white space, A-Z lower-cased.  A text with fewer words
-    has its whole sequence as one shingle; one without words has none.
+    has its whole sequence as one shingle; one without words has none.  The words of many texts are
+    hashed at once, as polynomials over their bytes from running sums, so no word becomes an object.
     """
 
-    def __init__(self, width: int = 5, room: int = 500_000):
+    def __init__(self, width: int = 5, together: int = 1 << 20):
         import xxhash
 
-        self.width, self.room, self.hash = width, room, xxhash.xxh3_64_intdigest
-        self.words: dict[bytes, int] = {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        n, width = len(words), self.width
-        if n < width:
-            return np.array([self.hash(b" ".join(words), seed=n)][: bool(n)], dtype=np.uint64)
-        try:
-            found = list(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > self.room:
-                self.words.clear()
-            self.words.update((w, self.hash(w)) for w in set(words).difference(self.words))
-            found = list(map(self.words.__getitem__, words))
-        h = np.array(found, dtype=np.uint64)
-        x = h[: n - width + 1].copy()
-        for k in range(1, width):
-            x *= _K
-            x += h[k : n - width + 1 + k]
-        return np.unique(_mixed(x))
+        self.width, self.together, self.hash = width, together, xxhash.xxh3_64_intdigest
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
+        space = np.zeros(256, dtype=bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        self.space = space
+        self.low = np.arange(256, dtype=np.uint64)
+        self.low[65:91] += np.uint64(32)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            up, down = np.full(n, _R, dtype=np.uint64), np.full(n, pow(int(_R), -1, 1 << 64), dtype=np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def _some(self, data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """Sets of texts that lie end to end in ``data``; ``ends`` are their ends."""
+        if not len(data):
+            yield from (np.zeros(0, dtype=np.uint64) for _ in ends)
+            return
+        self._powers(len(data))
+        word = ~self.space[data]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        stops = word.copy()
+        stops[:-1] &= ~word[1:]
+        inner = ends[(ends > 0) & (ends < len(data))]
+        begins[inner] = word[inner]
+        stops[inner - 1] = word[inner - 1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+        total = np.cumsum((self.low[data] + np.uint64(1)) * self.up[: len(data)])
+        h = total[last] - total[first] + (self.low[data[first]] + np.uint64(1)) * self.up[first]
+        h = _mixed(h * self.down[first] + (last - first).astype(np.uint64) * _K)
+        n = len(h) - self.width + 1
+        if n > 0:
+            x = h[:n].copy()
+            for k in range(1, self.width):
+                x *= _K
+                x += h[k : n + k]
+            x = _mixed(x)
+        done = 0
+        for stop in np.searchsorted(first, ends).tolist():
+            count = stop - done
+            if count >= self.width:
+                s = x[done : stop - self.width + 1]
+                s.sort()
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:
+                yield np.array([self.hash(h[done:stop].tobytes(), seed=count)][: bool(count)], dtype=np.uint64)
+            done = stop
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text of a string or binary column; a null is an empty text."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.together)) - 1)
+            yield from self._some(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at])
+            at = to
 
     def node(self, s: np.ndarray) -> int:
         """A signed 64-bit fingerprint of a set."""
@@ -81,57 +130,63 @@ class Prefixes:
 
     def __init__(self, common: np.ndarray, counts: np.ndarray, percent: int):
         self.common, self.counts, self.percent = common, counts, percent
+        self.may = np.zeros(1 << 22, dtype=bool)
+        self.may[(common >> np.uint64(42)).astype(np.int64)] = True
 
     def of(self, s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The rarer shingles under each order, and the common ones, which both orders end with."""
         n = len(s)
         length = n + self.percent * n // -100 + 1
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            known = self.common[at] == s
-            rare, shared, counts = s[~known], s[known], self.counts[at[known]]
-        else:
-            rare, shared, counts = s, s[:0], self.counts[:0]
+        maybe = np.flatnonzero(self.may[(s >> np.uint64(42)).astype(np.int64)])
+        rare, shared, counts = s, s[:0], self.counts[:0]
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.common, s[maybe]), len(self.common) - 1)
+            hit = self.common[at] == s[maybe]
+            if hit.any():
+                known = np.zeros(n, dtype=bool)
+                known[maybe[hit]] = True
+                rare, shared, counts = s[~known], s[known], self.counts[at[hit]]
         if len(rare) > length:
             return [rare[np.argpartition(_mixed(rare ^ salt), length - 1)[:length]] for salt in _SALTS], shared[:0]
         return [rare] * len(_SALTS), shared[np.lexsort((shared, counts))[: length - len(rare)]]
 
 
-def _bytes(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
-    return batch.column(at).cast(pa.binary()).to_pylist()
-
-
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (key, n, node) for all documents; per batch a row with the shingles that at least three
+    """Rows (key, n, node, bits) for all documents; per batch a row with the shingles that at least three
     different texts of the batch share, and how many do."""
 
     def start():
         shingles = Shingles(width)
 
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sizes, nodes, seen, sets = [], [], set(), []
-            for t in _bytes(batch, 1):
-                s = shingles.of(t)
+        def one(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, whole.num_rows, _DOCS):
+                yield from some(whole.slice(at, _DOCS))
+
+        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sizes, nodes, marks, seen, sets = [], [], [], set(), []
+            for s in shingles.sets(batch.column(1)):
                 node = shingles.node(s) if len(s) else None
                 sizes.append(len(s))
                 nodes.append(node)
+                marks.append(signature(s).view(np.int64))
                 if node is not None and node not in seen:
                     seen.add(node)
                     sets.append(s)
             none = lambda n, t: pa.nulls(n, t)
             k = len(sizes)
-            names = ["key", "n", "node", "tokens", "counts"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none(k, pa.binary()), none(k, pa.binary())], names)
+            names = ["key", "n", "node", "bits", "tokens", "counts"]
+            words = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, words), none(k, pa.binary()), none(k, pa.binary())], names)
             if sets:
                 token, count = np.unique(np.concatenate(sets), return_counts=True)
                 token, count = token[count >= 3], count[count >= 3].astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [none(1, batch.schema.field(0).type), none(1, pa.int64()), none(1, pa.int64()), pa.array([token.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names
+                    [none(1, batch.schema.field(0).type), none(1, pa.int64()), none(1, pa.int64()), none(1, words), pa.array([token.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names
                 )
 
         return one
 
-    return C.map_batches(docs, start, "key long, n long, node long, tokens binary, counts binary")
+    return C.map_batches(docs, start, "key long, n long, node long, bits array<long>, tokens binary, counts binary")
 
 
 def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +197,7 @@ def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, "<i8")), pa.array(np.frombuffer(n, "<u4").astype(np.int64))], ["token", "n"])
 
-    rows = profile.filter("tokens is not null").select("tokens", "counts").mapInArrow(unpack, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = profile.filter("tokens is not null").select("tokens", "counts").mapInArrow(C.tidy(unpack), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = rows.orderBy(F.desc("n"), "token").limit(_COMMON_ROOM).toArrow()
     token = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
@@ -156,11 +211,14 @@ def _entries(docs: DataFrame, prefixes, buckets: int, width: int) -> DataFrame:
         shingles, seen = Shingles(width), set()
         find = Prefixes(*prefixes.value)
 
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def one(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, whole.num_rows, _DOCS):
+                yield from some(whole.slice(at, _DOCS))
+
+        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             parts: list[list[np.ndarray]] = [[] for _ in _SALTS]
             nodes, sizes, shared = [], [], []
-            for t in _bytes(batch, 0):
-                s = shingles.of(t)
+            for s in shingles.sets(batch.column(0)):
                 if not len(s) or (node := shingles.node(s)) in seen:
                     continue
                 seen.add(node)
@@ -188,8 +246,10 @@ def _entries(docs: DataFrame, prefixes, buckets: int, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array([x.tobytes() for x in np.split(packed, cut)], pa.binary()), *[pa.nulls(m, pa.int64())] * 3], names)
             times = np.array([len(x) for x in shared])
             if m := int(times.sum()):
+                # common shingles only pass by: dealt by node, so that no task gets a posting
+                owner = (-1 - (np.repeat(ids, times).view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.concatenate(shared).view(np.int64)), pa.array(np.repeat(ids, times)), pa.array(np.repeat(ns, times))], names
+                    [pa.array(owner), pa.nulls(m, pa.binary()), pa.array(np.concatenate(shared).view(np.int64)), pa.array(np.repeat(ids, times)), pa.array(np.repeat(ns, times))], names
                 )
 
         return one
@@ -203,9 +263,19 @@ def _pairs_in(percent: int):
 
     def own(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        x = np.unique(np.concatenate([np.frombuffer(b, dtype=_ENTRY) for b in table.column("entries").to_pylist()]))
+        none = pa.nulls
+        if bucket < 0:
+            k = table.num_rows
+            return pa.table({"which": pa.array(np.full(k, len(_SALTS), dtype=np.int32)), "a": none(k, pa.int64()), "b": none(k, pa.int64()), "token": table.column("token"), "node": table.column("node"), "n": table.column("n")})
+        x = np.concatenate([np.frombuffer(b, dtype=_ENTRY) for b in table.column("entries").to_pylist()])
+        order = np.sort(x["token"].astype(np.uint64) << np.uint64(32) | np.arange(len(x), dtype=np.uint64))
+        token = order >> np.uint64(32)
+        again = np.flatnonzero(token[1:] == token[:-1])
+        keep = np.zeros(len(x), dtype=bool)  # entries whose shingle has another entry
+        keep[again] = keep[again + 1] = True
+        x = np.unique(x[(order[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
         cut = np.flatnonzero(np.diff(x["token"])) + 1
-        first, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(x)]]))
+        first, size = np.concatenate([[0], cut])[: len(x)], np.diff(np.concatenate([[0], cut, [len(x)]]))[: len(x)]
         left, right = [], []
         for n in range(2, _TOGETHER + 1):  # all postings of one length together
             at = first[size == n]
@@ -221,13 +291,12 @@ def _pairs_in(percent: int):
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         big = np.repeat(size > _TOGETHER, size)
         rest = x[big]
-        order, m, k = bucket % len(_SALTS), len(pairs), len(rest)
-        none = pa.nulls
+        m, k = len(pairs), len(rest)
         # a large posting's name: order, bucket and token
         name = _mixed(rest["token"].astype(np.uint64) ^ _mixed(np.full(k, bucket, dtype=np.uint64))).view(np.int64)
         return pa.table(
             {
-                "which": pa.array([order] * m + [None] * k, pa.int32()),
+                "which": pa.array(np.full(m + k, bucket % len(_SALTS), dtype=np.int32)),
                 "a": pa.chunked_array([pa.array(pairs[:, 0]), none(k, pa.int64())]),
                 "b": pa.chunked_array([pa.array(pairs[:, 1]), none(k, pa.int64())]),
                 "token": pa.chunked_array([none(m, pa.int64()), pa.array(name)]),
@@ -239,79 +308,190 @@ def _pairs_in(percent: int):
     return own
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bits of a set as 64-bit words."""
+    marks = np.zeros(_BITS, dtype=bool)
+    marks[(s & np.uint64(_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
+def _close(n: str, bits: str, m: str, other: str, percent: int):
+    """False only for pairs whose signatures differ in more bits than similar sets' shingles can."""
+    differ = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return _alike(n, m, percent) & (differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
+
+
 def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) for the nodes of ``firsts`` (node, key of a document that has it)."""
+    """(node, n, bits, tokens) for the nodes of ``firsts`` (node, key of a document that has it).
+
+    Where rows repeat a key and its text, so do nodes; links from them are the same.
+    """
     spark = docs.sparkSession
-    if firsts.count() <= _SENT_IDS:
-        ids = spark.sparkContext.broadcast(np.sort(firsts.select("key").toArrow().column(0).to_numpy()))
-        rows, wanted = docs, ids
+    few = firsts.count() <= _SENT_IDS
+    if few:
+        table = firsts.select("key", "node").toArrow()
+        wanted = spark.sparkContext.broadcast(tuple(np.sort(table.column(c).to_numpy()) for c in ("key", "node")))
+        rows = docs
     else:
-        rows, wanted = docs.join(firsts.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi"), None
+        rows, wanted = docs.join(firsts.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi"), None
+
+    def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(x), dtype=bool)
+        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
     def start():
         shingles = Shingles(width)
 
         def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            if wanted is not None and len(wanted.value):
-                keys = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(wanted.value, keys), len(wanted.value) - 1)
-                batch = batch.filter(pa.array(wanted.value[at] == keys))
-            found = [(shingles.node(s), s.tobytes()) for s in map(shingles.of, _bytes(batch, 1)) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "tokens"])
+            if few:
+                batch = batch.filter(pa.array(among(batch.column(0).to_numpy(), wanted.value[0])))
+            for at in range(0, batch.num_rows, _DOCS):
+                found = [(shingles.node(s), len(s), signature(s).view(np.int64), s.tobytes()) for s in shingles.sets(batch.column(1).slice(at, _DOCS)) if len(s)]
+                if few:
+                    found = [x for x, ok in zip(found, among(np.array([x[0] for x in found], dtype=np.int64), wanted.value[1]), strict=True) if ok]
+                cols = list(zip(*found, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["node", "n", "bits", "tokens"])
 
         return one
 
-    made = C.map_batches(rows, start, "node long, tokens binary")
-    return made.join(firsts.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"])
+    made = C.map_batches(rows, start, "node long, n long, bits array<long>, tokens binary")
+    return made if few else made.join(firsts.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _pivot_links(large: DataFrame, sets: DataFrame, percent: int, where: str) -> DataFrame | None:
-    """Links that join all similar nodes of large postings (token, node, n) into their components."""
-    links, r, left = None, 0, C.durable(large.select("token", "node", "n").withColumn("comp", F.col("node")), "pivots", f"{where}/left-0")
-    while True:
-        mixed = left.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("token", "least")
-        mixed = C.durable(mixed, "pivots", f"{where}/mixed-{r}")
+    Pairs of one group of near copies are dealt together, by their nodes' least neighbour and, in large
+    groups, by blocks of nodes; so a set is sent to few tasks, however many pairs it is in.
+    """
+    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("group"))
+    grouped = pairs.select("a", "b").join(least, "a")
+    blocks = grouped.groupBy("group").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(5000.0))).cast("int").alias("blocks"))
+    place = F.xxhash64("group", F.pmod(F.xxhash64("a"), "blocks"), F.pmod(F.xxhash64("b"), "blocks"))
+    dealt = grouped.join(blocks, "group").select(F.pmod(place, F.lit(C.parts_for(sets, 4))).cast("int").alias("pack"), "a", "b")
+    dealt = C.durable(dealt, "dealt")
+    needed = dealt.select(F.col("pack").alias("to"), F.col("a").alias("node")).unionByName(dealt.select(F.col("pack").alias("to"), F.col("b").alias("node"))).distinct()
+    sent = needed.join(sets.select("node", "tokens"), "node").select("to", "node", "tokens")
+
+    def own(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(t, np.uint64) for k, t in zip(right.column("node").to_pylist(), right.column("tokens").to_pylist(), strict=True)}
+        ok = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int(np.count_nonzero(y[at] == x))
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        return left.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return dealt.groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(own, "a long, b long")
+
+
+def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the test on signatures."""
+    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_close("na", "sa", "nb", "sb", percent)).select("a", "b")
+
+
+def _mid_pairs(mid: DataFrame, sketches: DataFrame, percent: int, where: str) -> DataFrame:
+    """Pairs of postings of up to ``_BLOCK`` nodes that pass the test on signatures, each from the first
+    such posting that both nodes are in.  Postings are dealt in packs of some thousand rows."""
+    every = mid.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    rows = C.durable(mid.join(every.join(sketches, "node"), "node").select("token", "node", "n", "bits", "tokens"), "mid", f"{where}/mid")
+    packs = max(1, rows.count() // 10_000)
+
+    def own(table: pa.Table) -> pa.Table:
+        token, node, n = (table.column(c).to_numpy() for c in ("token", "node", "n"))
+        bits = table.column("bits").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(node), -1)
+        lists = table.column("tokens").combine_chunks()
+        order = np.argsort(token, kind="stable")
+        found = []
+        for at in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            i, j = np.triu_indices(len(at), 1)
+            i, j = at[i], at[j]
+            ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            i, j = i[ok], j[ok]
+            before = {int(k): {t for t in lists[int(k)].as_py() if t < token[at[0]]} for k in np.unique(np.concatenate([i, j]))}
+            ok = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+            found.append(np.stack([node[i[ok]], node[j[ok]]], axis=1))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy(F.pmod(F.xxhash64("token"), F.lit(packs)).alias("pack")).applyInArrow(own, "a long, b long")
+
+
+def _across(percent: int):
+    """Of two blocks of a posting: pairs of different components that pass the test on signatures.
+
+    A pair comes from the first of the postings that both nodes are in (``tokens``: a node's mixed
+    postings, of which a prefix has few).
+    """
+
+    def own(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, n, comp, mine = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own"))
+        bits = np.array(table.column("bits").to_pylist(), dtype=np.int64).view(np.uint64)
+        lists, token = table.column("tokens").to_pylist(), table.column("token")[0].as_py()
+        ahead = [np.array([t for t in x if t < token], dtype=np.int64) for x in lists]
+        width = max(map(len, ahead))
+        padded = np.array([np.concatenate([a, np.full(width - len(a), token)]) for a in ahead]).reshape(len(ahead), width)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = []
+        for x in left:
+            y = right if i != j else right[right > x]
+            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            if len(y):
+                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64)
+                y = y[differ * (100 + percent) <= (n[y] + n[x]) * (100 - percent)]
+                if len(y) and len(ahead[x]):
+                    y = y[~np.isin(padded[y], ahead[x]).any(axis=1)]
+                found.append(np.stack([np.full(len(y), node[x]), node[y]], axis=1))
+        pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return own
+
+
+def _large_links(large: DataFrame, sets: DataFrame, percent: int, where: str) -> list[DataFrame]:
+    """Links that join all similar nodes of large postings (token, node) into their components."""
+    rows = large.select("token", "node").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
+    rows = C.durable(rows.select("token", "node", "n", "bits", F.col("node").alias("comp")), "large", f"{where}/large-0")
+    own = C.durable(sets.join(rows.select("node").distinct(), "node", "left_semi"), "large", f"{where}/large-sets")
+    links: list[DataFrame] = []
+    for r in range(len(_PIVOTS) + 1):
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("m")).filter("least <> most").select("token", "least", "m")
+        mixed = C.durable(mixed, "large", f"{where}/mixed-{r}")
         if mixed.isEmpty():
             return links
-        left = left.join(mixed, "token")
-        outside = left if r == 0 else left.filter("comp <> least")
-        salt = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(1 << r))
-        pivots = outside.groupBy("token", salt.alias("salt")).agg(F.min_by(F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("x")).select("token", "x.*")
-        pivots = C.durable(pivots, "pivots", f"{where}/pivots-{r}")
-        met = left.select("token", "node", "n", "comp").join(pivots, "token").filter((F.col("comp") != F.col("pc")) & _alike("n", "pn", percent))
-        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        new = C.durable(_verified(C.durable(pairs, "pivots", f"{where}/pairs-{r}"), sets, percent), "pivots", f"{where}/links-{r}")
-        links = new if links is None else C.durable(links.unionByName(new), "pivots", f"{where}/all-{r}")
-        comps = C.durable(C.components(links), "pivots", f"{where}/comps-{r}")
-        rest = left.join(pivots.select("token", F.col("p").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n")
-        now = rest.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-        r += 1
-        left = C.durable(now, "pivots", f"{where}/left-{r}")
+        left = rows.join(mixed, "token")
+        if r < len(_PIVOTS):
+            pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pcomp"))
+            outside = left if r == 0 else left.filter("comp <> least")
+            salt = F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(_PIVOTS[r]))
+            pivots = outside.groupBy("token", salt.alias("salt")).agg(F.min_by(pivot, F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("x")).select("token", "x.*")
+            met = left.join(C.durable(pivots, "large", f"{where}/pivots-{r}"), "token").filter((F.col("comp") != F.col("pcomp")) & _close("n", "bits", "pn", "pbits", percent))
+            pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        else:
+            blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
+            every = left.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+            dealt = left.join(every, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "comp", "tokens")
+            pairs = dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long")
+        links.append(C.durable(_verified(C.durable(pairs.distinct(), "large", f"{where}/pairs-{r}"), own, percent), "large", f"{where}/links-{r}"))
+        if r < len(_PIVOTS):
+            comps = C.components(reduce(DataFrame.unionByName, links))
+            rows = C.durable(left.drop("comp", "least", "m").join(comps, "node", "left").select("token", "node", "n", "bits", F.coalesce("component", "node").alias("comp")), "large", f"{where}/large-{r + 1}")
+    return links
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -329,31 +509,36 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     profile = C.durable(_profile(docs, width), "profile", f"{where}/profile")
     prefixes = spark.sparkContext.broadcast((*_common(profile), percent))
     rows = profile.filter("tokens is null").select("key", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node"))
-    classes = C.durable(rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("least")), "classes", f"{where}/classes")
+    marked = profile.filter("tokens is null and node is not null and key is not null")
+    classes = C.durable(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes", f"{where}/classes")
+    sketches = classes.select("node", "n", "bits")
 
     buckets = max(1, min(1_000_000, C.bytes_of(docs) // (8 << 20)))
-    entries = C.durable(_entries(docs.filter("key is not null"), prefixes, buckets, width), "entries", f"{where}/entries")
-    found = C.durable(
-        entries.filter("bucket is not null").groupBy("bucket").applyInArrow(_pairs_in(percent), "which int, a long, b long, token long, node long, n long"), "found", f"{where}/found"
-    )
-    per_order = [found.filter(F.col("which") == k).select("a", "b").distinct() for k in range(len(_SALTS))]
-    both = per_order[0].join(per_order[1], ["a", "b"])
-
-    common = entries.filter("token is not null").select("token", "node", "n").distinct()
-    common = C.durable(common.unionByName(found.filter("token is not null").select("token", "node", "n")), "common", f"{where}/common")
+    entries = _entries(docs.filter("key is not null"), prefixes, buckets, width)
+    found = C.durable(entries.groupBy("bucket").applyInArrow(_pairs_in(percent), "which int, a long, b long, token long, node long, n long"), "found", f"{where}/found")
+    # every link shares a prefix shingle under the first order; those that also share one under the second
+    # are in its pairs, or both texts are in postings of its that were not paired
+    first, second = (found.filter((F.col("which") == k) & F.col("a").isNotNull()).select("a", "b").distinct() for k in range(len(_SALTS)))
+    unpaired = found.filter(F.col("which").isin(1, 2) & F.col("token").isNotNull()).select("node").distinct()
+    open_ = lambda k: unpaired.select(F.col("node").alias(k), F.lit(True).alias(f"open_{k}"))
+    both = first.join(second.withColumn("met", F.lit(True)), ["a", "b"], "left").join(open_("a"), "a", "left").join(open_("b"), "b", "left")
+    both = both.filter(F.col("met").isNotNull() | (F.col("open_a").isNotNull() & F.col("open_b").isNotNull())).select("a", "b")
+
+    common = C.durable(found.filter(F.col("which").isin(0, 2) & F.col("token").isNotNull()).select("token", "node", "n").distinct(), "common", f"{where}/common")
     sizes = C.durable(common.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "common", f"{where}/sizes")
     few = common.join(sizes.filter(F.col("m") <= _TOGETHER), "token").select("token", "node", "n")
     other = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
     few_pairs = few.select("token", F.col("node").alias("a"), "n").join(other, "token").filter((F.col("a") < F.col("b")) & _alike("n", "nb", percent)).select("a", "b")
-    large = C.durable(common.join(sizes.filter(F.col("m") > _TOGETHER), "token").select("token", "node", "n"), "large", f"{where}/large")
+    mid = common.join(sizes.filter((F.col("m") > _TOGETHER) & (F.col("m") <= _BLOCK)), "token").select("token", "node")
+    large = C.durable(common.join(sizes.filter(F.col("m") > _BLOCK), "token").select("token", "node"), "large", f"{where}/large")
 
-    pairs = C.durable(both.unionByName(few_pairs).distinct(), "pairs", f"{where}/pairs")
+    direct = _passing(both.unionByName(few_pairs).distinct(), sketches, percent)
+    pairs = C.durable(direct.unionByName(_mid_pairs(mid, sketches, percent, where)).distinct(), "pairs", f"{where}/pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     firsts = C.durable(classes.join(wanted, "node").select("node", F.col("least").alias("key")), "wanted", f"{where}/wanted")
     sets = C.durable(_sets(docs.filter("key is not null"), firsts, width), "sets", f"{where}/sets")
     links = _verified(pairs, sets, percent)
-    if (more := _pivot_links(large, sets, percent, where)) is not None:
-        links = links.unionByName(more)
+    links = reduce(DataFrame.unionByName, [links, *_large_links(large, sets, percent, where)])
 
     name = classes.select("node", F.col("least").alias("id"))
     edges = links.join(name.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
