@@ -34,6 +34,7 @@ _COMMON_ROOM = 1 << 21  # shingles that are sorted by count; a broadcast of 32 M
 _TOGETHER = 6  # nodes of a posting whose pairs are made at once
 _DOCS = 3000  # documents whose shingles a task holds at once
 _BITS = 1024  # of a signature
+_STARS = 2  # rounds in which every node meets one candidate, before all candidates across components do
 _PIVOTS = (1, 4, 8)  # that a large posting meets, round by round
 _BLOCK = 512  # nodes of a posting, or of a block of a large one, that are compared at once
 _SENT_IDS = 8 << 20  # identifiers that may be broadcast
@@ -394,6 +395,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(own, "a long, b long")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, where: str) -> list[DataFrame]:
+    """Links among the candidate pairs that join all similar nodes into their components.
+
+    Each node first meets its least partner, then another of those outside its component; only pairs
+    that still lie across components are then all verified.  So a group of near copies takes a few
+    comparisons for each node, not one for each pair.
+    """
+    links: list[DataFrame] = []
+    left = pairs.select("a", "b")
+    for r in range(_STARS):
+        ways = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        by = F.col("b") if r == 0 else F.xxhash64("b", F.lit(r))
+        star = ways.groupBy("a").agg(F.min_by("b", by).alias("b"))
+        star = C.durable(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars", f"{where}/stars-{r}")
+        links.append(C.durable(_verified(star, sets, percent), "stars", f"{where}/star-links-{r}"))
+        comps = C.durable(C.components(reduce(DataFrame.unionByName, links)), "stars", f"{where}/star-comps-{r}")
+        side = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))  # noqa: B023, E731
+        across = left.join(star, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        left = C.durable(across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "stars", f"{where}/across-{r}")
+        if left.isEmpty():
+            return links
+    return [*links, _verified(left, sets, percent)]
+
+
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the test on signatures."""
     side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
@@ -513,7 +538,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     classes = C.durable(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes", f"{where}/classes")
     sketches = classes.select("node", "n", "bits")
 
-    buckets = max(1, min(1_000_000, C.bytes_of(docs) // (8 << 20)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, C.bytes_of(docs) // (8 << 20)))
     entries = _entries(docs.filter("key is not null"), prefixes, buckets, width)
     found = C.durable(entries.groupBy("bucket").applyInArrow(_pairs_in(percent), "which int, a long, b long, token long, node long, n long"), "found", f"{where}/found")
     # every link shares a prefix shingle under the first order; those that also share one under the second
@@ -537,8 +562,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     firsts = C.durable(classes.join(wanted, "node").select("node", F.col("least").alias("key")), "wanted", f"{where}/wanted")
     sets = C.durable(_sets(docs.filter("key is not null"), firsts, width), "sets", f"{where}/sets")
-    links = _verified(pairs, sets, percent)
-    links = reduce(DataFrame.unionByName, [links, *_large_links(large, sets, percent, where)])
+    links = reduce(DataFrame.unionByName, _linked(pairs, sets, percent, where) + _large_links(large, sets, percent, where))
 
     name = classes.select("node", F.col("least").alias("id"))
     edges = links.join(name.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
