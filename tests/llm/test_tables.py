@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -316,3 +318,39 @@ def test_op9_recall(spark, sf):
     got = {r.vec_id: r for r in vectors.op9_vector_cells(spark, f"/root/testdata/{sf}").collect()}
     assert sum(got[k].n_links for k in want) >= 0.9 * sum(n for n, _ in want.values()) and all(got[k].n_links <= n for k, (n, _) in want.items())
     assert all(r.kept == (r.component_id == k) for k, r in got.items())
+
+
+def hot_vectors(n=30_000, width=64, seed=3):
+    """A third of the rows near copies of one vector: half of these close, half with pairs about 0.95; the rest random."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    base, third = rng.normal(size=width), n // 3
+    base *= math.sqrt(width) / np.linalg.norm(base)
+    noise = np.where(np.arange(third) < third // 2, 0.02, 0.225)
+    x[:third] = base + rng.normal(size=(third, width)) * noise[:, None]
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+def brute_counts(x, least=0.95):
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    n, links = np.zeros(len(u), np.int64), []
+    for at in range(0, len(u), 1000):
+        hit = u[at : at + 1000] @ u.T >= least
+        hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+        n[at : at + 1000] = hit.sum(axis=1)
+        some = np.flatnonzero(hit.any(axis=1))
+        # a row's first link, and for each column its first row here: enough to join all, as blocks overlap in columns
+        links += [(int(at + i), int(hit[i].argmax())) for i in some] + [(int(at + hit[:, j].argmax()), int(j)) for j in np.flatnonzero(hit.any(axis=0))]
+    return n, links
+
+
+def test_op9_keeps_all_links_of_a_hot_group(spark, tmp_path):
+    x = hot_vectors()
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "embeddings.parquet")
+    want, links = brute_counts(x)
+    assert want.sum() > 50_000_000 and len(links) > 10_000
+    rows = vectors.op9_vector_cells(spark, str(tmp_path)).toArrow().sort_by("vec_id")
+    got, comp = rows.column("n_links").to_numpy(), rows.column("component_id").to_numpy()
+    assert (got == want).all(), (int(got.sum()), int(want.sum()))
+    assert all(comp[i] == comp[j] for i, j in links) and (comp[want == 0] == np.flatnonzero(want == 0)).all()
