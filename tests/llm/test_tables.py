@@ -77,6 +77,19 @@ def test_op1_totals_are_those_of_a_recount(spark, docs):
     assert got == want
 
 
+def test_op1_counts_documents_without_words(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a", "en", "two words"), (2, "a", "en", None), (3, "a", "en", ""), (4, "a", "en", " \n\n \t"), (5, "only blank", "de", "\n \n"), (6, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = defaultdict(lambda: (0, 0))
+    for _, source, lang, text in rows:
+        for version, n in (("words-1", len((text or "").split())), ("byte_bpe_50k", len(t.encode(text or "", add_special_tokens=False).ids))):
+            d, k = want[source, lang, version]
+            want[source, lang, version] = d + 1, k + n
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in token_counts.op1_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == want and got["only blank", "de", "words-1"] == (1, 0) and got["only blank", "de", "byte_bpe_50k"][1] > 0
+
+
 def test_rollup_batches(spark):
     entry = "struct<source:string,lang:string,tokenizer:string,tokens:bigint>"
     schema = f"before {entry}, after {entry}"

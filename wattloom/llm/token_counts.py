@@ -126,8 +126,8 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents under two tokenizer versions, by way of all kinds of change.
 
     Batch 1 inserts every document with its words and an estimate of its byte-pair tokens (bytes / 4);
-    batch 2 revises the estimate to the real count; batch 3 deletes documents without words; batch 2
-    is then committed again, as after a lost acknowledgement.
+    batch 2 revises the estimate to the real count; batch 3 deletes documents without words and batch 4
+    inserts them again; batch 2 is then committed again, as after a lost acknowledgement.
     """
     import public_tokenizers
 
@@ -145,7 +145,9 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("0001", changes(counts, (none, entry("words-1", "word_tokens")), (none, entry("byte_bpe_50k", "guess"))))
     revise = changes(counts, (entry("byte_bpe_50k", "guess"), entry("byte_bpe_50k", "bpe_tokens")))
     rollup.commit("0002", revise)
-    rollup.commit("0003", changes(counts.filter("word_tokens = 0"), (entry("words-1", "word_tokens"), none), (entry("byte_bpe_50k", "bpe_tokens"), none)))
+    wordless = counts.filter("word_tokens = 0")
+    rollup.commit("0003", changes(wordless, (entry("words-1", "word_tokens"), none), (entry("byte_bpe_50k", "bpe_tokens"), none)))
+    rollup.commit("0004", changes(wordless, (none, entry("words-1", "word_tokens")), (none, entry("byte_bpe_50k", "bpe_tokens"))))
     rollup.commit("0002", revise)
     rollup.compact()
     rollup.commit("0002", revise)
