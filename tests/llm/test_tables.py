@@ -347,22 +347,24 @@ def hot_vectors(n=30_000, width=64, seed=3):
 def brute_counts(x, least=0.95):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
-    n, links = np.zeros(len(u), np.int64), []
+    n, links, border = np.zeros(len(u), np.int64), [], 0
     for at in range(0, len(u), 1000):
-        hit = u[at : at + 1000] @ u.T >= least
+        near = u[at : at + 1000] @ u.T
+        hit = near >= least
         hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
         n[at : at + 1000] = hit.sum(axis=1)
+        border += int((hit & (near < least + 0.01)).sum())
         some = np.flatnonzero(hit.any(axis=1))
         # a row's first link, and for each column its first row here: enough to join all, as blocks overlap in columns
         links += [(int(at + i), int(hit[i].argmax())) for i in some] + [(int(at + hit[:, j].argmax()), int(j)) for j in np.flatnonzero(hit.any(axis=0))]
-    return n, links
+    return n, links, border
 
 
 def test_op9_keeps_all_links_of_a_hot_group(spark, tmp_path):
     x = hot_vectors()
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "embeddings.parquet")
-    want, links = brute_counts(x)
-    assert want.sum() > 50_000_000 and len(links) > 10_000
+    want, links, border = brute_counts(x)
+    assert want.sum() > 50_000_000 and border > 1_000_000 and len(links) > 10_000
     rows = vectors.op9_vector_cells(spark, str(tmp_path)).toArrow().sort_by("vec_id")
     got, comp = rows.column("n_links").to_numpy(), rows.column("component_id").to_numpy()
     assert (got == want).all(), (int(got.sum()), int(want.sum()))
