@@ -187,9 +187,10 @@ def test_near_copies_of_large_groups_and_odd_rows(spark, monkeypatch):
     rows += [(400, None), (401, ""), (402, " \t\n"), (403, "One two"), (404, "one  TWO"), (405, "one two three"), (406, "y " * 4000), (407, "Y " * 3000), (408, "É b c d e f"), (409, "é b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(3)
     want = brute_components(rows)
-    for together, block in ((64, 512), (3, 512), (3, 20)):  # pairs at once; blocks of middle postings; pivots of large ones
-        monkeypatch.setattr(ngram_join, "_TOGETHER", together)
-        monkeypatch.setattr(ngram_join, "_BLOCK", block)
+    for signed, block, entries, leaders in ((64, 256, 1 << 21, 4), (3, 256, 200, 4), (3, 20, 1 << 21, 1), (2, 7, 500, 0)):
+        # postings with signatures, blocks of large ones, chunks, and nothing linked before postings
+        for name, value in (("_SIGNED", signed), ("_BLOCK", block), ("_ENTRIES", entries), ("_LEADERS", leaders)):
+            monkeypatch.setattr(ngram_join, name, value)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_copies(df).collect())
         assert got == want
     monkeypatch.setattr(ngram_join, "_SENT_IDS", -1)
@@ -198,6 +199,19 @@ def test_near_copies_of_large_groups_and_odd_rows(spark, monkeypatch):
     odd = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1]), (2, rows[0][1])], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.near_copies(odd).collect()) == [("1", "1"), ("2", "1"), ("None", "None")]
     assert ngram_join.near_copies(df.limit(0)).count() == 0
+    several = spark.createDataFrame([(5, "a b c d e f"), (5, "u v w x y z"), (3, "a b c d e f"), (7, "u  v w x y z"), (5, "u v w x y z")], "doc_id int, text string")
+    assert {r.component_id for r in ngram_join.near_copies(several).collect()} == {3}
+    with pytest.raises(TypeError):
+        ngram_join.near_copies(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_signatures_never_exclude_a_link():
+    rng = np.random.default_rng(11)
+    for n in (3, 50, 70, 700, 5000):
+        x = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        for lost, own in ((0, 0), (n // 9, 0), (0, n // 9), (n // 18, n // 20)):
+            y = np.unique(np.concatenate([x[lost:], rng.integers(0, 1 << 48, own).astype(np.uint64)]))
+            assert ngram_join._differ(ngram_join.signature(x), ngram_join.signature(y)) <= len(np.setxor1d(x, y))
 
 
 # ---- op6 ----

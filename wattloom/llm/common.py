@@ -64,6 +64,17 @@ def durable(df: DataFrame, name: str, where: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, where: str) -> DataFrame:
+    """``df`` if it is a plain scan, whose partitions are the same each time; else written once and read back.
+
+    Operators that number rows or batches by task need it: a second attempt must see the rows of the first.
+    """
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    if all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip()):
+        return df
+    return durable(df, "settled", where)
+
+
 def files_of(uri: str):
     """(file system, path) of a folder or file; works on executors, without the JVM."""
     from pyarrow import fs

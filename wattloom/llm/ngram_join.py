@@ -1,24 +1,28 @@
 """Exact Jaccard self-join on word shingles by prefix filters under several global orders.
 
-Texts become sets of 64-bit shingle hashes; equal sets are one node.  In a global order of all
-shingles, two sets of similarity s share a shingle among the first n - ceil(s*n) + 1 of each.  Two
-orders are used.  Both put shingles that many texts share last, by their counts, and differ in the
-hash that orders the rest.  A pair is a candidate only if it shares a prefix shingle under both; the
-candidates of either order are intersected before any set is fetched.
-
-Shingles that stay in many prefixes all the same (large groups of near copies) would give links by
-the square.  Their postings first meet a few pivots, whose links bring most nodes into components;
-then only nodes of different components are compared, in blocks.  So no link between components is
-missed and few pairs are made.
-
-Before sets are fetched, pairs pass a lossless test on signatures of 1024 bits, one bit set for each
-shingle: bits that differ are at most the shingles that differ.
+Texts become sets of 48-bit shingle hashes; equal sets are one node.  In a global order of all shingles,
+two sets of similarity s share a shingle among the first n - ceil(s*n) + 1 of each.  Three orders are used:
+
+- By hash.  Only the shingles that come first (a share of the hash range) are dealt to buckets, where
+  those that no other set holds are found.  A set with more of them than a prefix can lack is done: all
+  of a prefix of it is its own.  What remains are mostly near copies and sets made of shared passages.
+- By the number of sets that hold a shingle, rare ones first, which the second deal counts, whole sets
+  now, but only of those that remain.
+- By the power of two of that number, then another hash; so shared shingles differ in their order too.
+
+Under the last two, each posting (the sets with one shingle in their prefixes) gives its pairs, whatever
+its size; the pairs of both orders are intersected before sets are compared.
+
+Large groups of near copies would give links by the square.  So sets first meet a few leaders of the
+groups that share a least hash, and postings then give only pairs of different components: no link
+between components is missed, and few pairs are made.  Pairs of large postings, and all before sets are
+fetched, pass a lossless test on signatures: parities of a set's shingles by hash, of which no more
+differ than shingles do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,17 @@ from . import common as C
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse
-_SALTS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
-_COMMON_ROOM = 1 << 21  # shingles that are sorted by count; a broadcast of 32 MB at most
-_TOGETHER = 6  # nodes of a posting whose pairs are made at once
-_DOCS = 3000  # documents whose shingles a task holds at once
-_BITS = 1024  # of a signature
-_STARS = 2  # rounds in which every node meets one candidate, before all candidates across components do
-_PIVOTS = (1, 4, 8)  # that a large posting meets, round by round
-_BLOCK = 512  # nodes of a posting, or of a block of a large one, that are compared at once
-_SENT_IDS = 8 << 20  # identifiers that may be broadcast
-_ENTRY = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4")])
+_SALTS = tuple(map(np.uint64, (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)))
+_BITS = 48  # of a shingle's hash
+_FIRST = 3 << (_BITS - 3)  # the part of the hash range that the first deal sends: three eighths
+_ENTRIES = 1 << 21  # of a chunk, which a task holds at once
+_SLOTS = 60_000  # sets of a chunk; two bytes name one
+_MANY = 0xFFFF  # in a set's place: several sets of the chunk
+_SENT_IDS = 4 << 20  # keys that may be broadcast
+_LEADERS = 4  # that sets of a group with one least hash meet
+_BLOCK = 256  # sets of a group that are compared at once
+_SIGNED = 64  # a posting above so many sets carries signatures
+_AGAIN = np.dtype([("token", "<u8"), ("count", "<u4")])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -126,451 +131,444 @@ class Shingles:
         return int(np.uint64(self.hash(s.tobytes())).astype(np.int64))
 
 
-class Prefixes:
-    """The first n - ceil(s*n) + 1 shingles of a set under either order."""
-
-    def __init__(self, common: np.ndarray, counts: np.ndarray, percent: int):
-        self.common, self.counts, self.percent = common, counts, percent
-        self.may = np.zeros(1 << 22, dtype=bool)
-        self.may[(common >> np.uint64(42)).astype(np.int64)] = True
-
-    def of(self, s: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The rarer shingles under each order, and the common ones, which both orders end with."""
-        n = len(s)
-        length = n + self.percent * n // -100 + 1
-        maybe = np.flatnonzero(self.may[(s >> np.uint64(42)).astype(np.int64)])
-        rare, shared, counts = s, s[:0], self.counts[:0]
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.common, s[maybe]), len(self.common) - 1)
-            hit = self.common[at] == s[maybe]
-            if hit.any():
-                known = np.zeros(n, dtype=bool)
-                known[maybe[hit]] = True
-                rare, shared, counts = s[~known], s[known], self.counts[at[hit]]
-        if len(rare) > length:
-            return [rare[np.argpartition(_mixed(rare ^ salt), length - 1)[:length]] for salt in _SALTS], shared[:0]
-        return [rare] * len(_SALTS), shared[np.lexsort((shared, counts))[: length - len(rare)]]
-
-
-def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (key, n, node, bits) for all documents; per batch a row with the shingles that at least three
-    different texts of the batch share, and how many do."""
-
-    def start():
-        shingles = Shingles(width)
-
-        def one(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at in range(0, whole.num_rows, _DOCS):
-                yield from some(whole.slice(at, _DOCS))
-
-        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sizes, nodes, marks, seen, sets = [], [], [], set(), []
-            for s in shingles.sets(batch.column(1)):
-                node = shingles.node(s) if len(s) else None
-                sizes.append(len(s))
-                nodes.append(node)
-                marks.append(signature(s).view(np.int64))
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    sets.append(s)
-            none = lambda n, t: pa.nulls(n, t)
-            k = len(sizes)
-            names = ["key", "n", "node", "bits", "tokens", "counts"]
-            words = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, words), none(k, pa.binary()), none(k, pa.binary())], names)
-            if sets:
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                token, count = token[count >= 3], count[count >= 3].astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [none(1, batch.schema.field(0).type), none(1, pa.int64()), none(1, pa.int64()), none(1, words), pa.array([token.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names
-                )
-
-        return one
-
-    return C.map_batches(docs, start, "key long, n long, node long, bits array<long>, tokens binary, counts binary")
-
-
-def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most shared shingles, at most ``_COMMON_ROOM``, sorted, with counts; others order by hash."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, "<i8")), pa.array(np.frombuffer(n, "<u4").astype(np.int64))], ["token", "n"])
-
-    rows = profile.filter("tokens is not null").select("tokens", "counts").mapInArrow(C.tidy(unpack), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = rows.orderBy(F.desc("n"), "token").limit(_COMMON_ROOM).toArrow()
-    token = found.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    return token[order], found.column("n").to_numpy()[order]
-
-
-def _entries(docs: DataFrame, prefixes, buckets: int, width: int) -> DataFrame:
-    """Prefix entries packed by (order, bucket of shingles), and plain rows for common shingles."""
-
-    def start():
-        shingles, seen = Shingles(width), set()
-        find = Prefixes(*prefixes.value)
-
-        def one(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at in range(0, whole.num_rows, _DOCS):
-                yield from some(whole.slice(at, _DOCS))
-
-        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            parts: list[list[np.ndarray]] = [[] for _ in _SALTS]
-            nodes, sizes, shared = [], [], []
-            for s in shingles.sets(batch.column(0)):
-                if not len(s) or (node := shingles.node(s)) in seen:
-                    continue
-                seen.add(node)
-                rare, hot = find.of(s)
-                for k, r in enumerate(rare):
-                    parts[k].append(r)
-                nodes.append(node)
-                sizes.append(len(s))
-                shared.append(hot)
-            names = ["bucket", "entries", "token", "node", "n"]
-            if not nodes:
-                return
-            ids, ns = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int64)
-            for k, order in enumerate(parts):
-                token, times = np.concatenate(order), np.array([len(x) for x in order])
-                packed = np.empty(len(token), dtype=_ENTRY)
-                packed["token"], packed["node"], packed["size"] = (token >> np.uint64(32)).astype("<u4"), np.repeat(ids, times), np.repeat(ns, times)
-                bucket = (token % np.uint64(buckets)).astype(np.int32)
-                at = np.argsort(bucket, kind="stable")
-                packed, bucket = packed[at], bucket[at]
-                cut = np.flatnonzero(np.diff(bucket)) + 1
-                if len(bucket):
-                    owners = bucket[np.concatenate([[0], cut])].astype(np.int32) * len(_SALTS) + k
-                    m = len(owners)
-                    yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array([x.tobytes() for x in np.split(packed, cut)], pa.binary()), *[pa.nulls(m, pa.int64())] * 3], names)
-            times = np.array([len(x) for x in shared])
-            if m := int(times.sum()):
-                # common shingles only pass by: dealt by node, so that no task gets a posting
-                owner = (-1 - (np.repeat(ids, times).view(np.uint64) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), pa.nulls(m, pa.binary()), pa.array(np.concatenate(shared).view(np.int64)), pa.array(np.repeat(ids, times)), pa.array(np.repeat(ns, times))], names
-                )
-
-        return one
-
-    return C.map_batches(docs.select("text"), start, "bucket int, entries binary, token long, node long, n long")
-
-
-def _pairs_in(percent: int):
-    """Of a bucket: pairs of nodes that share a shingle and may be similar by size; the entries of
-    postings above ``_TOGETHER`` nodes go on as they are."""
+# ---- deals: shingles meet in buckets, and what a set shares comes back to its chunk ----
+
+_HEAD = "keys array<long>, slots array<int>, nodes array<long>, sizes array<long>, taken array<int>, held binary"
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_HEAD_TYPES = {"keys": _LONGS, "slots": _INTS, "nodes": _LONGS, "sizes": _LONGS, "taken": _INTS, "held": pa.binary()}
+
+
+class _Deal:
+    """How one deal cuts the hashes below ``below`` into buckets and packs them."""
+
+    def __init__(self, buckets: int, below: int):
+        self.below, self.span = below, below // buckets + 1
+        self.buckets = buckets
+        self.pages = (self.span >> 32) + 1
+
+    def pack(self, bucket: int, entries: np.ndarray) -> bytes:
+        """Sorted entries (hash, 16 bits of slot) of a bucket: how many begin with each page, then the other six bytes."""
+        if not len(entries):
+            return b""
+        rel = entries - (np.uint64(bucket * self.span) << np.uint64(16))
+        counts = np.bincount((rel >> np.uint64(48)).astype(np.int64), minlength=self.pages).astype("<u4")
+        return counts.tobytes() + rel.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+    def unpack(self, bucket: int, data: bytes) -> np.ndarray:
+        if not data:
+            return np.zeros(0, dtype=np.uint64)
+        counts = np.frombuffer(data, "<u4", self.pages)
+        low = np.zeros((int(counts.sum()), 8), dtype=np.uint8)
+        low[:, :6] = np.frombuffer(data, np.uint8, offset=4 * self.pages).reshape(-1, 6)
+        rel = low.view("<u8").ravel() | np.repeat(np.arange(self.pages, dtype=np.uint64) << np.uint64(48), counts)
+        return rel + (np.uint64(bucket * self.span) << np.uint64(16))
+
+
+class _Chunk:
+    """Distinct sets of a task; a document names its set's slot."""
+
+    def __init__(self, name: int):
+        self.name, self.keys, self.slots, self.nodes, self.sizes, self.parts, self.at, self.held = name, [], [], [], [], [], {}, 0
+
+    def add(self, key: int | None, node: int, s: np.ndarray, below: int) -> None:
+        self.keys.append(key)
+        if not len(s):
+            self.slots.append(-1)
+            return
+        if node not in self.at:
+            self.at[node] = len(self.nodes)
+            self.nodes.append(node)
+            self.sizes.append(len(s))
+            t = s >> np.uint64(64 - _BITS)
+            self.parts.append(t[: np.searchsorted(t, np.uint64(below))])
+            self.held += len(self.parts[-1])
+        self.slots.append(self.at[node])
+
+    def rows(self, deal: _Deal) -> pa.RecordBatch:
+        """A row for each bucket, and one with all else, which passes by."""
+        taken = np.array([len(p) for p in self.parts], dtype=np.int32)
+        v = np.zeros(0, dtype=np.uint64)
+        if self.parts:
+            v = np.concatenate(self.parts) << np.uint64(16) | np.repeat(np.arange(len(taken), dtype=np.uint64), taken)
+            v.sort()
+        t = v >> np.uint64(16)
+        many = np.zeros(len(v), dtype=bool)  # shingles that several sets of the chunk hold
+        twice = np.flatnonzero(t[1:] == t[:-1])
+        many[twice] = many[twice + 1] = True
+        single, held = v[~many], v[many]
+        token, count = np.unique(held >> np.uint64(16), return_counts=True)
+        again = np.zeros(len(token), dtype=_AGAIN)
+        again["token"], again["count"] = token, count
+        edges = np.arange(deal.buckets + 1, dtype=np.uint64) * np.uint64(deal.span)
+        one, two = np.searchsorted(single >> np.uint64(16), edges), np.searchsorted(token, edges)
+        used = np.flatnonzero((np.diff(one) > 0) | (np.diff(two) > 0))
+        k = len(used) + 1
+        columns = {
+            "bucket": pa.array([*used.tolist(), -1 - self.name % deal.buckets], pa.int32()),
+            "chunk": pa.array([self.name] * k, pa.int64()),
+            "one": pa.array([deal.pack(b, single[one[b] : one[b + 1]]) for b in used.tolist()] + [None], pa.binary()),
+            "again": pa.array([again[two[b] : two[b + 1]].tobytes() for b in used.tolist()] + [None], pa.binary()),
+        }
+        head = {"keys": self.keys, "slots": self.slots, "nodes": self.nodes, "sizes": self.sizes, "taken": taken.tolist(), "held": held.tobytes()}
+        return pa.RecordBatch.from_pydict(columns | {n: pa.array([None] * (k - 1) + [x], _HEAD_TYPES[n]) for n, x in head.items()})
+
+
+def _dealt(docs: DataFrame, width: int, deal: _Deal) -> DataFrame:
+    """Rows of all chunks of (key, text).  A chunk is named by its task's number, so a second attempt makes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shingles, name = Shingles(width), TaskContext.get().partitionId() << 32
+        chunk = _Chunk(name)
+        for batch in batches:
+            for key, s in zip(batch.column(0).to_pylist(), shingles.sets(batch.column(1)), strict=True):
+                if chunk.held >= _ENTRIES or len(chunk.nodes) >= _SLOTS or len(chunk.keys) >= 4 * _SLOTS:
+                    yield chunk.rows(deal)
+                    name += 1
+                    chunk = _Chunk(name)
+                chunk.add(key, shingles.node(s) if len(s) else 0, s, deal.below)
+        if chunk.keys:
+            yield chunk.rows(deal)
+
+    return docs.mapInArrow(C.tidy(run), f"bucket int, chunk long, one binary, again binary, {_HEAD}")
+
+
+def _met(deal: _Deal, whole: bool):
+    """Of a bucket: for each chunk the entries whose shingle another set holds too.  With ``whole`` as (hash, slot) and the
+    number of sets, also for shingles that several sets of the chunk hold; else the slots alone."""
 
     def own(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        none = pa.nulls
         if bucket < 0:
             k = table.num_rows
-            return pa.table({"which": pa.array(np.full(k, len(_SALTS), dtype=np.int32)), "a": none(k, pa.int64()), "b": none(k, pa.int64()), "token": table.column("token"), "node": table.column("node"), "n": table.column("n")})
-        x = np.concatenate([np.frombuffer(b, dtype=_ENTRY) for b in table.column("entries").to_pylist()])
-        order = np.sort(x["token"].astype(np.uint64) << np.uint64(32) | np.arange(len(x), dtype=np.uint64))
-        token = order >> np.uint64(32)
-        again = np.flatnonzero(token[1:] == token[:-1])
-        keep = np.zeros(len(x), dtype=bool)  # entries whose shingle has another entry
-        keep[again] = keep[again + 1] = True
-        x = np.unique(x[(order[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        cut = np.flatnonzero(np.diff(x["token"])) + 1
-        first, size = np.concatenate([[0], cut])[: len(x)], np.diff(np.concatenate([[0], cut, [len(x)]]))[: len(x)]
-        left, right = [], []
-        for n in range(2, _TOGETHER + 1):  # all postings of one length together
-            at = first[size == n]
-            if len(at):
-                i, j = np.triu_indices(n, 1)
-                left.append((at[:, None] + i).ravel())
-                right.append((at[:, None] + j).ravel())
-        i, j = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-        small, large = np.minimum(x["size"][i], x["size"][j]).astype(np.int64), np.maximum(x["size"][i], x["size"][j]).astype(np.int64)
-        ok = 100 * small >= percent * large
-        pairs = np.stack([x["node"][i[ok]], x["node"][j[ok]]], axis=1)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs.astype(np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        big = np.repeat(size > _TOGETHER, size)
-        rest = x[big]
-        m, k = len(pairs), len(rest)
-        # a large posting's name: order, bucket and token
-        name = _mixed(rest["token"].astype(np.uint64) ^ _mixed(np.full(k, bucket, dtype=np.uint64))).view(np.int64)
-        return pa.table(
-            {
-                "which": pa.array(np.full(m + k, bucket % len(_SALTS), dtype=np.int32)),
-                "a": pa.chunked_array([pa.array(pairs[:, 0]), none(k, pa.int64())]),
-                "b": pa.chunked_array([pa.array(pairs[:, 1]), none(k, pa.int64())]),
-                "token": pa.chunked_array([none(m, pa.int64()), pa.array(name)]),
-                "node": pa.chunked_array([none(m, pa.int64()), pa.array(rest["node"].astype(np.int64))]),
-                "n": pa.chunked_array([none(m, pa.int64()), pa.array(rest["size"].astype(np.int64))]),
-            }
-        )
+            return table.select(["chunk", *_HEAD_TYPES]).append_column("answer", pa.nulls(k, pa.binary())).append_column("df", pa.nulls(k, pa.binary()))
+        one = [deal.unpack(bucket, x) for x in table.column("one").to_pylist()]
+        again = [np.frombuffer(x, _AGAIN) for x in table.column("again").to_pylist()]
+        v, g = np.concatenate(one), np.concatenate(again)
+        token = np.concatenate([v >> np.uint64(16), g["token"]])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        times = np.add.reduceat(np.concatenate([np.ones(len(v), np.int64), g["count"].astype(np.int64)])[order], first)
+        df = np.empty(len(token), dtype=np.int64)
+        df[order] = np.repeat(times, np.diff(np.append(first, len(token))))
+        at, to = np.cumsum([0, *map(len, one)]), len(v) + np.cumsum([0, *map(len, again)])
+        chunks, answers, dfs = [], [], []
+        for i, chunk in enumerate(table.column("chunk").to_pylist()):
+            mine, d = one[i], df[at[i] : at[i + 1]]
+            shared = d > 1
+            mine, d = mine[shared], d[shared]
+            if whole:
+                answer = np.concatenate([mine, again[i]["token"] << np.uint64(16) | np.uint64(_MANY)]).astype("<u8")
+                d = np.concatenate([d, df[to[i] : to[i + 1]]]).astype("<u4")
+            else:
+                answer, d = (mine & np.uint64(0xFFFF)).astype("<u2"), d[:0]
+            if len(answer):
+                chunks.append(chunk)
+                answers.append(answer.tobytes())
+                dfs.append(d.tobytes())
+        k = len(chunks)
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), **{n: pa.nulls(k, t) for n, t in _HEAD_TYPES.items()}, "answer": pa.array(answers, pa.binary()), "df": pa.array(dfs, pa.binary())})
 
     return own
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Bits of a set as 64-bit words."""
-    marks = np.zeros(_BITS, dtype=bool)
-    marks[(s & np.uint64(_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(marks, bitorder="little").view(np.uint64)
+def _returned(docs: DataFrame, width: int, deal: _Deal, whole: bool) -> DataFrame:
+    met = _dealt(docs, width, deal).groupBy("bucket").applyInArrow(_met(deal, whole), f"chunk long, {_HEAD}, answer binary, df binary")
+    return met.groupBy("chunk")
+
 
+def _split(table: pa.Table) -> tuple[dict, list[bytes], list[bytes]]:
+    """The head of a chunk, its answers and their counts."""
+    mask = table.column("keys").is_valid()
+    rest = table.filter(pa.compute.invert(mask))
+    return table.filter(mask).to_pylist()[0], rest.column("answer").to_pylist(), rest.column("df").to_pylist()
 
-def _close(n: str, bits: str, m: str, other: str, percent: int):
-    """False only for pairs whose signatures differ in more bits than similar sets' shingles can."""
-    differ = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return _alike(n, m, percent) & (differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
 
+def _still_open(percent: int):
+    """(key, n, node, alive) of a chunk's documents: not alive where too many shingles are the set's own."""
 
-def _alike(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def own(table: pa.Table) -> pa.Table:
+        head, answers, _ = _split(table)
+        k = len(head["nodes"])
+        slots = np.concatenate([(np.frombuffer(head["held"], "<u8") & np.uint64(0xFFFF)).astype(np.int64), *(np.frombuffer(a, "<u2").astype(np.int64) for a in answers)])
+        n = np.array(head["sizes"], dtype=np.int64)
+        alone = np.array(head["taken"], dtype=np.int64) - np.bincount(slots, minlength=k)[:k]
+        alive = np.append(alone <= n + percent * n // -100, False)
+        slot = np.array(head["slots"], dtype=np.int64)
+        nodes = pa.array(np.append(np.array(head["nodes"], dtype=np.int64), 0)[slot], mask=slot < 0)
+        return pa.table({"key": pa.array(head["keys"], pa.int64()), "n": np.append(n, 0)[slot], "node": nodes, "alive": alive[slot]})
 
+    return own
 
-def _sets(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """(node, n, bits, tokens) for the nodes of ``firsts`` (node, key of a document that has it).
 
-    Where rows repeat a key and its text, so do nodes; links from them are the same.
-    """
-    spark = docs.sparkSession
-    few = firsts.count() <= _SENT_IDS
-    if few:
-        table = firsts.select("key", "node").toArrow()
-        wanted = spark.sparkContext.broadcast(tuple(np.sort(table.column(c).to_numpy()) for c in ("key", "node")))
-        rows = docs
-    else:
-        rows, wanted = docs.join(firsts.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi"), None
-
-    def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(x), dtype=bool)
-        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-    def start():
-        shingles = Shingles(width)
-
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            if few:
-                batch = batch.filter(pa.array(among(batch.column(0).to_numpy(), wanted.value[0])))
-            for at in range(0, batch.num_rows, _DOCS):
-                found = [(shingles.node(s), len(s), signature(s).view(np.int64), s.tobytes()) for s in shingles.sets(batch.column(1).slice(at, _DOCS)) if len(s)]
-                if few:
-                    found = [x for x, ok in zip(found, among(np.array([x[0] for x in found], dtype=np.int64), wanted.value[1]), strict=True) if ok]
-                cols = list(zip(*found, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["node", "n", "bits", "tokens"])
-
-        return one
-
-    made = C.map_batches(rows, start, "node long, n long, bits array<long>, tokens binary")
-    return made if few else made.join(firsts.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"])
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities of the hashes by their last bits: four or more for each."""
+    bits = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+def _differ(x: bytes, y: bytes) -> int:
+    """Parities that differ; the longer signature is folded to the other's length."""
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    b = np.bitwise_xor.reduce(np.frombuffer(b, "<u8").reshape(-1, len(a) // 8), axis=0)
+    return int(np.bitwise_count(np.frombuffer(a, "<u8") ^ b).sum())
 
-    Pairs of one group of near copies are dealt together, by their nodes' least neighbour and, in large
-    groups, by blocks of nodes; so a set is sent to few tasks, however many pairs it is in.
-    """
-    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("group"))
-    grouped = pairs.select("a", "b").join(least, "a")
-    blocks = grouped.groupBy("group").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(5000.0))).cast("int").alias("blocks"))
-    place = F.xxhash64("group", F.pmod(F.xxhash64("a"), "blocks"), F.pmod(F.xxhash64("b"), "blocks"))
-    dealt = grouped.join(blocks, "group").select(F.pmod(place, F.lit(C.parts_for(sets, 4))).cast("int").alias("pack"), "a", "b")
-    dealt = C.durable(dealt, "dealt")
-    needed = dealt.select(F.col("pack").alias("to"), F.col("a").alias("node")).unionByName(dealt.select(F.col("pack").alias("to"), F.col("b").alias("node"))).distinct()
-    sent = needed.join(sets.select("node", "tokens"), "node").select("to", "node", "tokens")
-
-    def own(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {k: np.frombuffer(t, np.uint64) for k, t in zip(right.column("node").to_pylist(), right.column("tokens").to_pylist(), strict=True)}
-        ok = []
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            x, y = held[a], held[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int(np.count_nonzero(y[at] == x))
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        return left.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    return dealt.groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(own, "a long, b long")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, where: str) -> list[DataFrame]:
-    """Links among the candidate pairs that join all similar nodes into their components.
-
-    Each node first meets its least partner, then another of those outside its component; only pairs
-    that still lie across components are then all verified.  So a group of near copies takes a few
-    comparisons for each node, not one for each pair.
-    """
-    links: list[DataFrame] = []
-    left = pairs.select("a", "b")
-    for r in range(_STARS):
-        ways = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        by = F.col("b") if r == 0 else F.xxhash64("b", F.lit(r))
-        star = ways.groupBy("a").agg(F.min_by("b", by).alias("b"))
-        star = C.durable(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars", f"{where}/stars-{r}")
-        links.append(C.durable(_verified(star, sets, percent), "stars", f"{where}/star-links-{r}"))
-        comps = C.durable(C.components(reduce(DataFrame.unionByName, links)), "stars", f"{where}/star-comps-{r}")
-        side = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))  # noqa: B023, E731
-        across = left.join(star, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        left = C.durable(across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "stars", f"{where}/across-{r}")
-        if left.isEmpty():
-            return links
-    return [*links, _verified(left, sets, percent)]
-
-
-def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the test on signatures."""
-    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_close("na", "sa", "nb", "sb", percent)).select("a", "b")
-
-
-def _mid_pairs(mid: DataFrame, sketches: DataFrame, percent: int, where: str) -> DataFrame:
-    """Pairs of postings of up to ``_BLOCK`` nodes that pass the test on signatures, each from the first
-    such posting that both nodes are in.  Postings are dealt in packs of some thousand rows."""
-    every = mid.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    rows = C.durable(mid.join(every.join(sketches, "node"), "node").select("token", "node", "n", "bits", "tokens"), "mid", f"{where}/mid")
-    packs = max(1, rows.count() // 10_000)
+
+def _sets_of(percent: int):
+    """(node, n, tokens, p0, p1, sig, stars) of a chunk's sets that may still have a link: the shingles that
+    other sets hold, the prefixes under two orders as far as shared, the signature, two least hashes."""
 
     def own(table: pa.Table) -> pa.Table:
-        token, node, n = (table.column(c).to_numpy() for c in ("token", "node", "n"))
-        bits = table.column("bits").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(node), -1)
-        lists = table.column("tokens").combine_chunks()
-        order = np.argsort(token, kind="stable")
-        found = []
-        for at in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
-            i, j = np.triu_indices(len(at), 1)
-            i, j = at[i], at[j]
-            ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
-            i, j = i[ok], j[ok]
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
-            i, j = i[ok], j[ok]
-            before = {int(k): {t for t in lists[int(k)].as_py() if t < token[at[0]]} for k in np.unique(np.concatenate([i, j]))}
-            ok = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-            found.append(np.stack([node[i[ok]], node[j[ok]]], axis=1))
-        pairs = np.sort(np.concatenate(found), axis=1)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy(F.pmod(F.xxhash64("token"), F.lit(packs)).alias("pack")).applyInArrow(own, "a long, b long")
-
-
-def _across(percent: int):
-    """Of two blocks of a posting: pairs of different components that pass the test on signatures.
-
-    A pair comes from the first of the postings that both nodes are in (``tokens``: a node's mixed
-    postings, of which a prefix has few).
-    """
+        head, answers, dfs = _split(table)
+        v = np.concatenate([np.frombuffer(a, "<u8") for a in answers] or [np.zeros(0, np.uint64)])
+        df = np.concatenate([np.frombuffer(d, "<u4") for d in dfs] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        many = v & np.uint64(0xFFFF) == np.uint64(_MANY)
+        order = np.argsort(v[many])
+        known, times = v[many][order] >> np.uint64(16), df[many][order]
+        held = np.frombuffer(head["held"], "<u8")
+        v, df = np.concatenate([v[~many], held]), np.concatenate([df[~many], times[np.searchsorted(known, held >> np.uint64(16))] if len(held) else times[:0]])
+        slot, token = (v & np.uint64(0xFFFF)).astype(np.int64), v >> np.uint64(16)
+        order = np.lexsort((token, slot))
+        slot, token, df = slot[order], token[order], df[order]
+        cut = np.searchsorted(slot, np.arange(len(head["nodes"]) + 1))
+        out: dict[str, list] = {k: [] for k in ("node", "n", "tokens", "p0", "p1", "sig", "stars")}
+        for i, (node, n) in enumerate(zip(head["nodes"], head["sizes"], strict=True)):
+            t, d = token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]]
+            length = len(t) + percent * n // -100 + 1
+            if length <= 0 or not len(t):
+                continue
+            by_count, by_power = np.lexsort((_mixed(t), d)), np.lexsort((_mixed(t ^ _SALTS[1]), np.frexp(d.astype(float))[1]))
+            for k, x in (("node", node), ("n", n), ("tokens", t.view(np.int64)), ("p0", t[by_count[:length]].view(np.int64)), ("p1", t[by_power[:length]].view(np.int64))):
+                out[k].append(x)
+            out["sig"].append(signature(t))
+            out["stars"].append([int(_mixed(t ^ salt).min().astype(np.int64)) for salt in _SALTS[2:]])
+        types = {"node": pa.int64(), "n": pa.int64(), "sig": pa.binary()}
+        return pa.table({k: pa.array(x, types.get(k, _LONGS)) for k, x in out.items()})
+
+    return own
+
+
+_SETS = "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, sig binary, stars array<long>"
+
+
+# ---- links ----
+
+
+def _pack(parts: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
+
+
+def _similar(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (n + m - both)
+
+
+def _led(percent: int):
+    """Links of sets to the first leader that they are similar to, in each group of a pack."""
+
+    def own(table: pa.Table) -> pa.Table:
+        s, h, salt, node, n = (table.column(c).to_numpy() for c in ("s", "h", "salt", "node", "n"))
+        tokens = table.column("tokens").combine_chunks()
+        flat, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        order = np.lexsort((node, node != table.column("pivot").to_numpy(), salt, h, s))
+        a, b, group, leaders = [], [], None, []
+        for r in order.tolist():
+            if (s[r], h[r], salt[r]) != group:
+                group, leaders = (s[r], h[r], salt[r]), []
+            mine = flat[ends[r] : ends[r + 1]]
+            for q, other in leaders:
+                if node[q] == node[r] or _similar(mine, int(n[r]), other, int(n[q]), percent):
+                    a.append(node[q])
+                    b.append(node[r])
+                    break
+            else:
+                if len(leaders) < _LEADERS:
+                    leaders.append((r, mine))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return own
+
+
+def _star_links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links of sets with the same least hash to leaders; large groups are cut into blocks that share one leader."""
+    keyed = sets.select("node", F.posexplode("stars").alias("s", "h"))
+    groups = keyed.groupBy("s", "h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).filter("m > 1")
+    blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
+    salts = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    rows = keyed.join(groups, ["s", "h"]).select("s", "h", "pivot", "node", F.explode(salts).alias("salt"))
+    full = rows.join(sets.select("node", "n", "tokens"), "node").withColumn("pack", _pack(parts, "s", "h", "salt"))
+    return full.groupBy("pack").applyInArrow(_led(percent), "a long, b long").distinct()
+
+
+def _small_pairs(percent: int):
+    """Pairs of different components, similar in size, in the postings of a pack."""
+
+    def own(table: pa.Table) -> pa.Table:
+        o, token, node, n, comp = (table.column(c).to_numpy() for c in ("o", "token", "node", "n", "comp"))
+        order = np.lexsort((token, o))
+        o, token, node, n, comp = (x[order] for x in (o, token, node, n, comp))
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (o[1:] != o[:-1])]))
+        size = np.diff(np.append(first, len(token)))
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for m in np.unique(size).tolist():  # all postings of one length together
+            i, j = np.triu_indices(m, 1)
+            at = first[size == m]
+            for some in np.array_split(at, max(1, len(at) * len(i) >> 20)):
+                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+                x, y = x[ok], y[ok]
+                found.append(np.unique(np.stack([o[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"o": pairs[:, 0], "a": pairs[:, 1], "b": pairs[:, 2]})
+
+    return own
+
+
+def _folded(sigs: list[bytes], words: int) -> np.ndarray:
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0) for x in sigs])
+
+
+def _large_pairs(percent: int):
+    """The same of two blocks of a large posting, or within one, if they pass the test on signatures too."""
 
     def own(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        node, n, comp, mine = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own"))
-        bits = np.array(table.column("bits").to_pylist(), dtype=np.int64).view(np.uint64)
-        lists, token = table.column("tokens").to_pylist(), table.column("token")[0].as_py()
-        ahead = [np.array([t for t in x if t < token], dtype=np.int64) for x in lists]
-        width = max(map(len, ahead))
-        padded = np.array([np.concatenate([a, np.full(width - len(a), token)]) for a in ahead]).reshape(len(ahead), width)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = []
-        for x in left:
-            y = right if i != j else right[right > x]
-            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            if len(y):
-                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64)
-                y = y[differ * (100 + percent) <= (n[y] + n[x]) * (100 - percent)]
-                if len(y) and len(ahead[x]):
-                    y = y[~np.isin(padded[y], ahead[x]).any(axis=1)]
-                found.append(np.stack([np.full(len(y), node[x]), node[y]], axis=1))
-        pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        task, side, o, node, n, held, comp = (table.column(c).to_numpy() for c in ("task", "side", "o", "node", "n", "held", "comp"))
+        sig, inside = table.column("sig").to_pylist(), table.column("inside").to_numpy(zero_copy_only=False)
+        order = np.lexsort((node, side, task))
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            within = bool(inside[at[0]])
+            left = at if within else at[side[at] == 0]
+            right = at if within else at[side[at] == 1]
+            if not len(left) or not len(right):
+                continue
+            length = np.array([len(sig[r]) // 8 for r in right])
+            held_bits: dict[tuple[int, int], np.ndarray] = {}  # by length and length after folding
+            for p, x in enumerate(left.tolist()):
+                own_words = len(sig[x]) // 8
+                for words in np.unique(length).tolist():
+                    at_y = np.flatnonzero(length == words)
+                    y = right[at_y]
+                    ok = (comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)
+                    if within:
+                        ok &= at_y > p
+                    if not ok.any():
+                        continue
+                    to = min(words, own_words)
+                    if (words, to) not in held_bits:
+                        held_bits[words, to] = _folded([sig[r] for r in y], to)
+                    y, b = y[ok], held_bits[words, to][ok]
+                    differ = np.bitwise_count(b ^ _folded([sig[x]], to)).sum(axis=1, dtype=np.int64)
+                    y = y[differ * (100 + percent) <= (held[x] + held[y]) * (100 + percent) - 2 * percent * (n[x] + n[y])]
+                    if len(y):
+                        found.append(np.stack([np.full(len(y), o[x]), np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"o": pairs[:, 0].astype(np.int64), "a": pairs[:, 1], "b": pairs[:, 2]})
 
     return own
 
 
-def _large_links(large: DataFrame, sets: DataFrame, percent: int, where: str) -> list[DataFrame]:
-    """Links that join all similar nodes of large postings (token, node) into their components."""
-    rows = large.select("token", "node").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
-    rows = C.durable(rows.select("token", "node", "n", "bits", F.col("node").alias("comp")), "large", f"{where}/large-0")
-    own = C.durable(sets.join(rows.select("node").distinct(), "node", "left_semi"), "large", f"{where}/large-sets")
-    links: list[DataFrame] = []
-    for r in range(len(_PIVOTS) + 1):
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("m")).filter("least <> most").select("token", "least", "m")
-        mixed = C.durable(mixed, "large", f"{where}/mixed-{r}")
-        if mixed.isEmpty():
-            return links
-        left = rows.join(mixed, "token")
-        if r < len(_PIVOTS):
-            pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pcomp"))
-            outside = left if r == 0 else left.filter("comp <> least")
-            salt = F.pmod(F.xxhash64("node", F.lit(-r)), F.lit(_PIVOTS[r]))
-            pivots = outside.groupBy("token", salt.alias("salt")).agg(F.min_by(pivot, F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("x")).select("token", "x.*")
-            met = left.join(C.durable(pivots, "large", f"{where}/pivots-{r}"), "token").filter((F.col("comp") != F.col("pcomp")) & _close("n", "bits", "pn", "pbits", percent))
-            pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        else:
-            blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
-            every = left.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-            dealt = left.join(every, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "comp", "tokens")
-            pairs = dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long")
-        links.append(C.durable(_verified(C.durable(pairs.distinct(), "large", f"{where}/pairs-{r}"), own, percent), "large", f"{where}/links-{r}"))
-        if r < len(_PIVOTS):
-            comps = C.components(reduce(DataFrame.unionByName, links))
-            rows = C.durable(left.drop("comp", "least", "m").join(comps, "node", "left").select("token", "node", "n", "bits", F.coalesce("component", "node").alias("comp")), "large", f"{where}/large-{r + 1}")
-    return links
+def _met_in_large(large: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (o, a, b) of large postings.  Sets of the posting's main component meet the blocks of the others only."""
+    counts = large.groupBy("o", "token").agg(F.count_if(F.col("comp") != F.col("main")).alias("others"), F.first("m").alias("m"))
+    size = lambda c: F.greatest(F.ceil(c / _BLOCK).cast("int"), F.lit(1))
+    rows = large.drop("m").join(counts, ["o", "token"]).withColumns({"mains": size(F.col("m") - F.col("others")), "blocks": size(F.col("others"))})
+    rows = rows.withColumn("is_main", F.col("comp") == F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("blocks"))).cast("int")
+    rows = rows.withColumn("own", own)
+    place = lambda i, j, kind, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"), side.cast("int").alias("side"))
+    all_blocks, all_mains = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    has_main = F.col("m") > F.col("others")
+    with_main = F.transform(all_mains, lambda i: place(i, F.col("own"), 0, F.lit(1)))
+    none = F.filter(with_main, lambda x: F.lit(False))
+    with_others = F.transform(all_blocks, lambda j: place(F.least("own", j), F.greatest("own", j), 1, (F.col("own") > j).cast("int")))
+    to = F.when(F.col("is_main"), F.transform(all_blocks, lambda j: place(F.col("own"), j, 0, F.lit(0)))).otherwise(F.concat(F.when(has_main, with_main).otherwise(none), with_others))
+    dealt = rows.select("o", "token", "node", "comp", F.explode(to).alias("to")).select("o", "token", "node", "comp", "to.*")
+    dealt = dealt.join(sets.select("node", "n", F.size("tokens").cast("long").alias("held"), "sig"), "node")
+    dealt = dealt.withColumns({"task": F.xxhash64("o", "token", "kind", "i", "j"), "inside": (F.col("kind") == 1) & (F.col("i") == F.col("j")), "o": F.col("o").cast("long")})
+    dealt = dealt.select(_pack(parts, "task").alias("pack"), "task", "side", "o", "node", "n", "held", "comp", "sig", "inside")
+    return dealt.groupBy("pack").applyInArrow(_large_pairs(percent), "o long, a long, b long")
+
+
+def _candidates(sets: DataFrame, comps: DataFrame, percent: int, parts: int, where: str) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle under both orders and pass the tests."""
+    sized = comps.join(comps.groupBy("component").agg(F.count(F.lit(1)).alias("of")), "component")
+    marked = sets.select("node", "n", "p0", "p1").join(sized, "node", "left")
+    marked = C.durable(marked.select("node", "n", "p0", "p1", F.coalesce("component", "node").alias("comp"), F.coalesce("of", F.lit(1)).alias("of")), "marked", f"{where}/marked")
+    row = ("node", "n", "comp", "of")
+    entries = marked.select(F.lit(0).alias("o"), F.explode("p0").alias("token"), *row).unionByName(marked.select(F.lit(1).alias("o"), F.explode("p1").alias("token"), *row))
+    mixed = entries.groupBy("o", "token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("of", "comp")).alias("top"))
+    mixed = mixed.filter("lo <> hi").select("o", "token", "m", F.col("top.comp").alias("main"))
+    rows = C.durable(entries.join(mixed, ["o", "token"]).select("o", "token", "node", "n", "comp", "m", "main"), "entries", f"{where}/entries")
+    small = rows.filter(F.col("m") <= _SIGNED).select(_pack(parts, "o", "token").alias("pack"), F.col("o").cast("long").alias("o"), "token", "node", "n", "comp")
+    pairs = small.groupBy("pack").applyInArrow(_small_pairs(percent), "o long, a long, b long")
+    pairs = pairs.unionByName(_met_in_large(rows.filter(F.col("m") > _SIGNED).select("o", "token", "node", "comp", "m", "main"), sets, percent, parts))
+    both = pairs.groupBy("a", "b").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi").select("a", "b")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.size("tokens").cast("long").alias(f"h{k}"), F.col("sig").alias(f"s{k}"))
+    full = both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb", "sa", "sb")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            na, nb, ha, hb = (t.column(c).to_numpy() for c in ("na", "nb", "ha", "hb"))
+            room = (ha + hb) * (100 + percent) - 2 * percent * (na + nb)
+            differ = np.array([_differ(x, y) for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True)], dtype=np.int64)
+            yield t.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= room))
+
+    return full.mapInArrow(C.tidy(passing), "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("k", F.size(F.array_intersect("ta", "tb")))
+    return met.filter(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): components of texts with 100 * intersection >= percent * union.
 
-    ``component_id`` is the smallest key reachable by links, the row's own included.  Texts without
-    words, null ones too, have no shingles and are alone.  Equal sets are linked.  Rows that share a
-    key are one document with several texts: each text's links count.  A row with a null key is counted
-    but linked with nothing, and has a null component.  Hashes are of 64 bits; nothing else is
-    approximate.  An empty input has no rows.
+    ``component_id`` is the smallest key reachable by links, the row's own included; links within a component
+    are not enumerated.  Keys are whole numbers (TypeError otherwise).  Texts without words, null ones too, have
+    no shingles and are alone.  Texts are taken whole, however long.  Equal sets are linked, so ties and copies are
+    one class; rows that repeat a key are one document with several texts: each text's links count.  A row with a
+    null key is counted but linked with nothing, and has a null component.  Hashes are of 64 bits for whole sets and
+    of 48 for shingles, which only two compared sets need to tell apart; nothing else is approximate.  Other columns
+    are not looked at, whatever their names.  An empty input has no rows.
     """
     spark: SparkSession = docs.sparkSession
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a whole number, not {dict(docs.dtypes)[key]}")
     where = C.shared_dir(spark, "ngram-join")
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    profile = C.durable(_profile(docs, width), "profile", f"{where}/profile")
-    prefixes = spark.sparkContext.broadcast((*_common(profile), percent))
-    rows = profile.filter("tokens is null").select("key", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node"))
-    marked = profile.filter("tokens is null and node is not null and key is not null")
-    classes = C.durable(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes", f"{where}/classes")
-    sketches = classes.select("node", "n", "bits")
-
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, C.bytes_of(docs) // (8 << 20)))
-    entries = _entries(docs.filter("key is not null"), prefixes, buckets, width)
-    found = C.durable(entries.groupBy("bucket").applyInArrow(_pairs_in(percent), "which int, a long, b long, token long, node long, n long"), "found", f"{where}/found")
-    # every link shares a prefix shingle under the first order; those that also share one under the second
-    # are in its pairs, or both texts are in postings of its that were not paired
-    first, second = (found.filter((F.col("which") == k) & F.col("a").isNotNull()).select("a", "b").distinct() for k in range(len(_SALTS)))
-    unpaired = found.filter(F.col("which").isin(1, 2) & F.col("token").isNotNull()).select("node").distinct()
-    open_ = lambda k: unpaired.select(F.col("node").alias(k), F.lit(True).alias(f"open_{k}"))
-    both = first.join(second.withColumn("met", F.lit(True)), ["a", "b"], "left").join(open_("a"), "a", "left").join(open_("b"), "b", "left")
-    both = both.filter(F.col("met").isNotNull() | (F.col("open_a").isNotNull() & F.col("open_b").isNotNull())).select("a", "b")
-
-    common = C.durable(found.filter(F.col("which").isin(0, 2) & F.col("token").isNotNull()).select("token", "node", "n").distinct(), "common", f"{where}/common")
-    sizes = C.durable(common.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "common", f"{where}/sizes")
-    few = common.join(sizes.filter(F.col("m") <= _TOGETHER), "token").select("token", "node", "n")
-    other = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    few_pairs = few.select("token", F.col("node").alias("a"), "n").join(other, "token").filter((F.col("a") < F.col("b")) & _alike("n", "nb", percent)).select("a", "b")
-    mid = common.join(sizes.filter((F.col("m") > _TOGETHER) & (F.col("m") <= _BLOCK)), "token").select("token", "node")
-    large = C.durable(common.join(sizes.filter(F.col("m") > _BLOCK), "token").select("token", "node"), "large", f"{where}/large")
-
-    direct = _passing(both.unionByName(few_pairs).distinct(), sketches, percent)
-    pairs = C.durable(direct.unionByName(_mid_pairs(mid, sketches, percent, where)).distinct(), "pairs", f"{where}/pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    firsts = C.durable(classes.join(wanted, "node").select("node", F.col("least").alias("key")), "wanted", f"{where}/wanted")
-    sets = C.durable(_sets(docs.filter("key is not null"), firsts, width), "sets", f"{where}/sets")
-    links = reduce(DataFrame.unionByName, _linked(pairs, sets, percent, where) + _large_links(large, sets, percent, where))
-
+    docs = C.settled(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), f"{where}/docs")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, C.bytes_of(docs) // (32 << 20)))
+    first = _returned(docs, width, _Deal(parts, _FIRST), False).applyInArrow(_still_open(percent), "key long, n long, node long, alive boolean")
+    found = C.durable(first, "profile", f"{where}/profile")
+    rows = found.select("key", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node"))
+    known = found.filter("node is not null and key is not null")
+    classes = C.durable(known.groupBy("node").agg(F.min("key").alias("least"), F.max("alive").alias("alive")), "classes", f"{where}/classes")
+
+    chosen = classes.filter("alive").select(F.col("least").alias("key")).distinct()
+    few = classes.filter("alive").count() <= _SENT_IDS
+    texts = docs.filter("key is not null").join(F.broadcast(chosen) if few else chosen, "key", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["key", "h"])
+    texts = C.durable(texts.select("key", "text"), "texts", f"{where}/texts")
+    deal = _Deal(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4), 1 << _BITS)
+    sets = C.durable(_returned(texts, width, deal, True).applyInArrow(_sets_of(percent), _SETS), "sets", f"{where}/sets")
+
+    stars = C.durable(_star_links(sets, percent, parts), "stars", f"{where}/stars")
+    comps = C.durable(C.components(stars), "comps", f"{where}/star-comps")
+    links = _verified(_candidates(sets, comps, percent, parts, where), sets, percent)
     name = classes.select("node", F.col("least").alias("id"))
-    edges = links.join(name.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    again = rows.filter("node is not null").join(classes, "node").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).join(rows.groupBy(F.col("key").alias("a")).agg(F.count_distinct("node").alias("texts")).filter("texts > 1"), "a").select("a", "b")
-    comps = C.durable(C.components(edges.unionByName(again)), "comps", f"{where}/comps")
-    named = classes.join(comps.select(F.col("node").alias("least"), "component"), "least", "left").select("node", F.coalesce("component", "least").alias("component"))
-    named = C.durable(named, "named", f"{where}/named")
-    out = rows.join(named, "node", "left")
+    joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    edges = joined.join(name.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # a document with several texts joins their classes
+    several = rows.filter("node is not null").groupBy(F.col("key").alias("a")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("a")
+    again = rows.filter("node is not null").join(several, F.col("key") == F.col("a"), "left_semi").join(name, "node").filter("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
+    ends = C.components(edges.unionByName(again))
+    named = classes.join(ends.select(F.col("node").alias("least"), "component"), "least", "left").select("node", F.coalesce("component", "least").alias("component"))
+    out = rows.join(C.durable(named, "named", f"{where}/named"), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
