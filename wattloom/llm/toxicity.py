@@ -2,7 +2,8 @@
 
 Training, on a bounded sample of labelled rows, on the driver: words and word beginnings that stand
 out in toxic documents label the tokens of those documents; a two-state chain (clean, toxic) over the
-tokens of a line is fitted to these labels by gradient ascent with forward-backward marginals; a
+tokens of a line is fitted to these labels by gradient ascent with forward-backward marginals, over
+parts of the sample in turn; a
 logistic curve from a document's marginals to its label is fitted on rows that the chain has not
 seen.  Scoring, everywhere: forward-backward over every line of every whole text.
 
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -28,6 +28,8 @@ from . import common as C
 
 _MARKS = b".,;:!?()[]{}\"'"
 _TOP = 30.0  # bound of log odds
+_KINDS = 5  # of features
+_LEAST_WEIGHT = 0.2  # that a model keeps; its curve is fitted after
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -87,6 +89,14 @@ class Model:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
+    def measure(self, u: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> Iterator[tuple[float, float, np.ndarray]]:
+        """The same from the tokens' log odds, the lengths of lines and the tokens of each text."""
+        p, _, _ = marginals(u, lengths, self.log_step, self.log_start)
+        for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+            own = p[end - n : end]
+            top = max(min(float(own.max()), 1 - 1e-9) if n else 0.0, 1e-9)
+            yield float(np.log(top / (1 - top))), float(own.sum()), own
+
 
 class _Odds(dict):
     """Word to log odds; forgets everything when full."""
@@ -120,13 +130,7 @@ class Scorer:
                     n += len(words)
             sizes.append(n)
         u = np.concatenate(parts) if parts else np.zeros(0)
-        p, _, _ = marginals(u, np.array(lengths, dtype=np.int64), self.model.log_step, self.model.log_start)
-        ends = np.cumsum(sizes)
-        for end, n in zip(ends, sizes, strict=True):
-            own = p[end - n : end]
-            top = min(float(own.max()), 1 - 1e-9) if n else 0.0
-            top = max(top, 1e-9)
-            yield float(np.log(top / (1 - top))), float(own.sum()), own
+        yield from self.model.measure(u, np.array(lengths, dtype=np.int64), sizes)
 
     def score(self, texts: Iterable[bytes | None]) -> Iterator[tuple[float, np.ndarray]]:
         w0, w1, w2, w3 = self.model.curve
@@ -134,106 +138,142 @@ class Scorer:
             yield 1 / (1 + float(np.exp(-np.clip(w0 + w1 * top + w2 * np.log1p(expected) + w3 * np.log1p(len(own)), -_TOP, _TOP)))), own
 
 
-def _unlike(texts: list[bytes], labels: list[int]) -> list[int]:
-    """Indices of texts of which most word triples are new: a group of copies counts once."""
-    seen: set[int] = set()
-    out = []
-    for i, t in enumerate(texts):
-        w = t.lower().split()
-        own = {h for h in (crc32(b" ".join(x)) for x in zip(w, w[1:], w[2:], strict=False)) if h % 8 == 0} or {crc32(t)}
-        if len(own & seen) * 10 < 3 * len(own):
-            out.append(i)
-        seen |= own
-    return out
+class Sample:
+    """Labelled texts as numbers: whole texts, of which only word numbers and lengths of lines are held.
 
+    A text of which less than 70 % of the word triples is new, beside those before it, is left out: a group of
+    copies counts once.
+    """
 
-def token_labels(texts: list[bytes], labels: list[int]) -> set[bytes]:
-    """Features (words, beginnings) that tell toxic documents apart, by the likelihood ratio of
-    document counts, beyond what the number of features tried makes likely by chance."""
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.lines: list[np.ndarray] = []
+        self.labels: list[int] = []
+        self._seen: set[int] = set()
+
+    def add(self, text: bytes, label: int) -> None:
+        low = text.lower()
+        w = low.split()
+        own = {h for h in (crc32(b" ".join(x)) for x in zip(w, w[1:], w[2:], strict=False)) if h % 8 == 0} or {crc32(text)}
+        new = len(own & self._seen) * 10 < 3 * len(own)
+        self._seen |= own
+        if new:
+            self.ids.append(np.fromiter((self.number.setdefault(x, len(self.number)) for x in w), dtype=np.int32, count=len(w)))
+            lengths = np.fromiter((len(line.split()) for line in low.split(b"\n")), dtype=np.int64)
+            self.lines.append(lengths[lengths > 0])
+            self.labels.append(label)
+
+    def table(self) -> np.ndarray:
+        """Hashes of the features of each word, by its number."""
+        import xxhash
+
+        flat = array("Q", (xxhash.xxh3_64_intdigest(f) for w in self.number for f in features(w)))
+        return np.frombuffer(flat, dtype=np.uint64).reshape(-1, _KINDS)
+
+
+def telling_features(ids: list[np.ndarray], labels: list[int], number: np.ndarray, may: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` features (words, beginnings) tell toxic documents apart, by the likelihood ratio of
+    document counts, beyond what the number of features tried makes likely by chance.  ``number``: the features
+    of each word; ``may``: those that may tell."""
     n1, n0 = sum(labels), len(labels) - sum(labels)
+    k1, k0 = np.zeros(size), np.zeros(size)
     if not n1 or not n0:
-        return set()
-    toxic: dict[bytes, int] = {}
-    tried = 0
-    for kind in range(5):  # one kind after the other, so that only one count of rare features is held
-        count = Counter(f for t, y in zip(texts, labels, strict=True) if y for f in {features(w)[kind] for w in t.lower().split()} if len(f) > 4)
-        tried += len(count)
-        toxic.update((f, n) for f, n in count.items() if n >= 3)
-    clean: Counter = Counter()
-    for t, y in zip(texts, labels, strict=True):
-        if not y:
-            clean.update({f for w in set(t.lower().split()) for f in features(w) if f in toxic})
-    least = 2 + 2 * np.log(tried + 1)
-    found = set()
-    for f, k1 in toxic.items():
-        k0, p1, p0 = clean.get(f, 0), k1 / n1, clean.get(f, 0) / n0
-        if p1 > 4 * p0:
-            p = (k1 + k0) / (n1 + n0)
-            if 2 * (k1 * np.log(p1 / p) + (k0 * np.log(p0 / p) if k0 else 0.0) + (n1 - k1) * np.log((1 - p1 + 1e-12) / (1 - p)) + (n0 - k0) * np.log((1 - p0) / (1 - p))) >= least:
-                found.add(f)
-    return found
-
-
-def fit_chain(texts: list[bytes], labels: list[int], rounds: int = 80, most_tokens: int = 500_000) -> Model:
-    """Fits the chain to lines with a token that tells, and to lines of clean documents, spread evenly:
-    at most ``most_tokens`` in all, the former a third of them."""
+        return np.zeros(size, dtype=bool)
+    for x, y in zip(ids, labels, strict=True):
+        w = np.unique(x)
+        (k1 if y else k0)[np.unique(number[w][may[w]])] += 1
+    least = 2 + 2 * np.log(np.count_nonzero(k1) + 1)
+    p1, p0, p = k1 / n1, k0 / n0, (k1 + k0) / (n1 + n0)
+    log = lambda k, x: np.where(k > 0, k * np.log(np.maximum(x, 1e-300)), 0.0)
+    likely = 2 * (log(k1, p1) - log(k1, p) + log(k0, p0) - log(k0, p) + log(n1 - k1, 1 - p1) - log(n1 - k1, 1 - p) + log(n0 - k0, 1 - p0) - log(n0 - k0, 1 - p))
+    return (k1 >= 3) & (p1 > 4 * p0) & (likely >= least)
+
+
+def fit_chain(sample: Sample, use: list[int], rounds: int = 80, epochs: int = 8, together: int = 200_000) -> Model:
+    """Fits the chain to all lines that hold a token that tells, and to all lines of clean documents.
+
+    Gradient ascent over parts of about ``together`` tokens in turn, ``rounds`` steps and ``epochs`` times
+    over all parts at least, so memory does not grow with the sample.  Lines of over 1,000 tokens are several
+    sequences; no token is left out.
+    """
     model = Model()
-    telling = token_labels(texts, labels)
-    hot: list[tuple[list[bytes], np.ndarray]] = []
-    cold: list[bytes] = []
-    for t, y in zip(texts, labels, strict=True):
-        for line in t.lower().split(b"\n"):
-            words = line.split()[:1000]
-            marks = np.array([y and any(f in telling for f in features(w)) for w in words], dtype=bool)
-            if marks.any():
-                hot.append((words, marks))
-            elif words and not y:
-                cold.append(line)
-    hot = hot[: int(np.searchsorted(np.cumsum([len(w) for w, _ in hot]), most_tokens // 3)) + 1]
-    sizes = np.cumsum([line.count(b" ") + 1 for line in cold])
-    step = -(-int(sizes[-1]) // (most_tokens * 2 // 3)) if cold else 1
-    lines = hot + [(w, np.zeros(len(w), dtype=bool)) for w in (line.split()[:1000] for line in cold[::step])]
-    if not hot:
+    ids, lines, labels = ([x[i] for i in use] for x in (sample.ids, sample.lines, sample.labels))
+    if not use:
+        model.bias = -8.0
+        return model
+    names, number = np.unique(sample.table(), return_inverse=True)
+    number = number.reshape(-1, _KINDS).astype(np.int32)
+    # a whole word may tell at any length, a beginning from four bytes
+    size = np.fromiter((len(w.strip(_MARKS)) for w in sample.number), dtype=np.int64, count=len(sample.number))
+    may = np.stack([size >= 1] + [size >= 4] * (_KINDS - 1), axis=1)
+    telling = telling_features(ids, labels, number, may, len(names))
+    word_tells = (telling[number] & may).any(axis=1)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word numbers, marks, lengths
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = some = 0
+
+    def close() -> None:
+        nonlocal held, total
+        if held:
+            parts.append((np.concatenate([w for w, _ in held]), np.concatenate([m for _, m in held]), np.array([len(w) for w, _ in held], dtype=np.int64)))
+        held, total = [], 0
+
+    for x, cut, y in zip(ids, lines, labels, strict=True):
+        marks = word_tells[x] & bool(y)
+        for w, m in zip(np.split(x, np.cumsum(cut)[:-1]), np.split(marks, np.cumsum(cut)[:-1]), strict=True):
+            if m.any() or (not y and len(w)):
+                for at in range(0, len(w), 1000):
+                    held.append((w[at : at + 1000], m[at : at + 1000]))
+                total += len(w)
+                some += int(m.sum())
+                if total >= together:
+                    close()
+    close()
+    if not some:
         model.bias = -8.0
         return model
-    number: dict[bytes, int] = {}
-    flat = array("i", (number.setdefault(f, len(number)) for words, _ in lines for w in words for f in features(w)))
-    index = np.frombuffer(flat, dtype=np.int32).reshape(-1, 5)
-    y = np.concatenate([m for _, m in lines]).astype(np.float64)
-    lengths = np.array([len(w) for w, _ in lines], dtype=np.int64)
-    last = np.cumsum(lengths) - 1
-    follows = np.ones(len(y), dtype=bool)
-    follows[last] = False
-    now = np.flatnonzero(follows)  # tokens with a next one in their line
-    seen_steps = np.array([[np.sum((1 - y[now]) * (1 - y[now + 1])), np.sum((1 - y[now]) * y[now + 1])], [np.sum(y[now] * (1 - y[now + 1])), np.sum(y[now] * y[now + 1])]])
-    first = np.concatenate([[0], last[:-1] + 1])
-    w = np.zeros(len(number) + 6)  # features, bias, start, four steps
+    w = np.zeros(len(names) + 6)  # features, bias, start, four steps
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, rounds + 1):
+    for k in range(1, max(rounds, epochs * len(parts)) + 1):
+        words, marks, lengths = parts[(k - 1) % len(parts)]
+        index, y = number[words], marks.astype(np.float64)
+        last = np.cumsum(lengths) - 1
+        follows = np.ones(len(y), dtype=bool)
+        follows[last] = False
+        now = np.flatnonzero(follows)  # tokens with a next one in their line
+        first = np.concatenate([[0], last[:-1] + 1])
+        seen_steps = np.array([np.sum((1 - y[now]) * (1 - y[now + 1])), np.sum((1 - y[now]) * y[now + 1]), np.sum(y[now] * (1 - y[now + 1])), np.sum(y[now] * y[now + 1])])
         u = w[index].sum(axis=1) + w[-6]
-        log_step = w[-4:].reshape(2, 2)
-        p, a, b = marginals(u, lengths, log_step, w[-5])
+        p, a, b = marginals(u, lengths, w[-4:].reshape(2, 2), w[-5])
         x = np.exp(np.clip(u[now + 1], -_TOP, _TOP)) * b[now + 1]
-        s = np.exp(log_step)
+        s = np.exp(w[-4:].reshape(2, 2))
         joint = np.stack([np.full(len(now), s[0, 0]), s[0, 1] * x, s[1, 0] * a[now], s[1, 1] * a[now] * x])
         joint /= joint.sum(axis=0)
         miss = y - p
-        g = np.concatenate([np.bincount(index.ravel(), weights=np.repeat(miss, index.shape[1]), minlength=len(number)), [miss.sum(), miss[first].sum()], (seen_steps.ravel() - joint.sum(axis=1))])
-        g -= 0.05 * w
+        g = np.zeros_like(w)
+        for kind in range(_KINDS):
+            g[:-6] += np.bincount(index[:, kind], weights=miss, minlength=len(names))
+        g[-6], g[-5], g[-4:] = miss.sum(), miss[first].sum(), seen_steps - joint.sum(axis=1)
+        g -= 0.05 / len(parts) * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    model.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 0.01}
+    for word, own in zip(sample.number, number, strict=True):
+        for f, i in zip(features(word), own.tolist(), strict=True):
+            if abs(w[i]) > _LEAST_WEIGHT:
+                model.weights[f] = float(w[i])
     model.bias, model.log_start, model.log_step = float(w[-6]), float(w[-5]), w[-4:].reshape(2, 2).copy()
     return model
 
 
-def fit_curve(model: Model, texts: list[bytes], labels: list[int]) -> tuple[float, float, float, float]:
+def fit_curve(model: Model, sample: Sample, use: list[int]) -> tuple[float, float, float, float]:
     """Logistic curve over log odds of the greatest marginal, log of expected toxic tokens and log of
     tokens, by Newton steps."""
-    y = np.array(labels, dtype=float)
+    y = np.array([sample.labels[i] for i in use], dtype=float)
     if not len(y) or y.min() == y.max():
         return (-2.0, 0.3, 0.5, 0.0)
-    x = np.array([(1.0, top, np.log1p(n), np.log1p(len(own))) for top, n, own in Scorer(model).measure(texts)])
+    odds = np.fromiter(map(model.token_odds, sample.number), dtype=np.float64, count=len(sample.number))
+    x = np.array([(1.0, top, np.log1p(n), np.log1p(len(own))) for i in use for top, n, own in model.measure(odds[sample.ids[i]], sample.lines[i], [len(sample.ids[i])])])
     w = np.array([0.0, 0.1, 0.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -_TOP, _TOP)))
@@ -248,21 +288,28 @@ def held_out(key: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_label: int = 2000, seed: int = 5) -> Model:
     """Fits on at most ``per_label`` rows of either label, drawn by a seeded hash among labelled rows
-    that are not held out.  Without rows of both labels the model scores every text low."""
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col("toxic").cast("int").alias("y")).join(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k")), "k", "left_semi")
-    draw = lambda y: usable.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(per_label)
+    that are not held out; their whole texts, but for near copies of others in the sample (see ``Sample``).
+
+    A key with several labels is toxic if one of them says so; of several texts of a key the least is taken.
+    Rows of null key, label or text are not drawn.  Without rows of both labels the model scores every text low.
+    The same tables and seed give the same model, whatever the type of keys and the order of rows.
+    """
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    usable = usable.join(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k")), "k", "left_semi")
+    place = F.crc32(F.concat_ws(":", F.lit(seed), F.col("k").cast("string")).cast("binary"))
+    draw = lambda y: usable.filter(F.col("y") == y).orderBy(place, "k").limit(per_label)
     drawn = {r.k: r.y for r in draw(1).unionByName(draw(0)).collect()}  # bounded by per_label
     if not drawn:
         return Model(bias=-8.0, curve=(-4.0, 0.1, 0.0, 0.0))
     chosen = docs.sparkSession.createDataFrame([(k,) for k in drawn], docs.select(F.col(key).alias("k")).schema)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k", "left_semi").collect()
-    rows = sorted(rows, key=lambda r: (hash((r.k, seed)) & 0xFFFF, r.k, r.t))
-    texts, ys = [r.t.encode() for r in rows], [drawn[r.k] for r in rows]
-    keep = _unlike(texts, ys)
-    texts, ys = [texts[i] for i in keep], [ys[i] for i in keep]
-    split = [i % 4 == 3 for i in range(len(texts))]
-    model = fit_chain([t for t, s in zip(texts, split, strict=True) if not s], [y for y, s in zip(ys, split, strict=True) if not s])
-    model.curve = fit_curve(model, [t for t, s in zip(texts, split, strict=True) if s], [y for y, s in zip(ys, split, strict=True) if s])
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "k", "left_semi")
+    sample = Sample()
+    for r in rows.groupBy("k").agg(F.min("t").alias("t")).orderBy(place, "k").toLocalIterator():
+        sample.add(r.t.encode(), drawn[r.k])
+    sample._seen.clear()
+    model = fit_chain(sample, [i for i in range(len(sample.ids)) if i % 4 != 3])
+    model.curve = fit_curve(model, sample, [i for i in range(len(sample.ids)) if i % 4 == 3])
+    del sample
     C.trim()
     return model
 
