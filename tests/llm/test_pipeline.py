@@ -55,3 +55,27 @@ def test_run_is_its_stages_and_takes_nothing(spark, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
     assert packing.PIECE.endswith("ids binary")
+
+
+def test_stages_carry_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Columns that operators add, or use on their way, come through every stage as they are."""
+    line = "a line of forty characters or more that six documents share"
+    rows = [(i, f"{line}\nown words of text {i} " + " ".join(f"v{i}x{j}" for j in range(20)), "en", "s" if i % 2 else None) for i in range(6)]
+    rows += [(10, None, "en", "s"), (11, "", None, "t"), (None, "no key here", "en", "t"), (12, "w " * 30_000, "en", "t"), (13, "same text twice over", "en", "s"), (13, "same text twice over", "en", "s"), (14, " \n\t", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    names = ["size", "source_size", "target", "taken", "n_lines", "n_dropped", "score", "predicted", "toxic_spans", "component_id", "n_shingles", "key", "node", "_w_key", "_rest", "odd.name", "n"]
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = C.durable(docs, "t-clash")
+    for name, stage in P.STAGES[:-1]:
+        now = C.durable(stage(spark, now, str(tmp_path)), "t-clash")
+        assert now.columns == docs.columns and now.schema == docs.schema, name
+        got = now.collect()
+        assert all(r[c] == (None if r.doc_id is None else f"{c}:{r.doc_id}") for r in got for c in names), name
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got), name
+        if name in ("toxicity", "line_dedup"):
+            assert len(got) == len(rows), name
+        if name == "near_copies":
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert P.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0

@@ -1,9 +1,13 @@
 """Rollups, toxicity, joins, line dedup, mixing and vectors: brute force, held-out accuracy, awkward rows."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -155,6 +159,24 @@ def test_toxicity_odd_rows(spark):
     assert {r.predicted for r in toxicity.score(docs, quiet).collect()} == {0} and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_fit_takes_late_words_and_is_the_same_under_any_hash_seed(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    filler = lambda i: " ".join(f"w{j}" for j in rng.integers(0, 3000, 2500))
+    rows = [(f"k{i}", filler(i) + (" foo" if i % 3 == 0 else " bar") + f" end{i}", int(i % 3 == 0)) for i in range(240)]  # one short telling word after 2,500 others
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, toxic int")
+    model = toxicity.train(docs.repartition(3), labels)
+    assert model.weights[b"wfoo"] == max(model.weights.values()) and model.weights[b"wfoo"] > 1
+    docs.union(docs).write.parquet(f"{tmp_path}/d")
+    labels.write.parquet(f"{tmp_path}/l")
+    code = (
+        "import sys; sys.path[:0] = ['.']; from wattloom.session import local_session; from wattloom.llm import toxicity as T; import zlib\n"
+        f"s = local_session('fit', cores=2, partitions=3); m = T.train(s.read.parquet('{tmp_path}/d'), s.read.parquet('{tmp_path}/l'))\n"
+        "print('MODEL', zlib.crc32(repr((sorted(m.weights.items()), m.log_step.tolist(), m.log_start, m.bias, m.curve)).encode()))"
+    )
+    said = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONHASHSEED": seed}, timeout=300, cwd=Path(__file__).parents[2]).stdout.split("MODEL")[-1].strip() for seed in ("1", "2")}
+    assert len(said) == 1 and said.pop().isdigit()
+
+
 # ---- op5 ----
 
 
@@ -189,7 +211,7 @@ def test_near_copies_of_large_groups_and_odd_rows(spark, monkeypatch):
     want = brute_components(rows)
     for signed, block, entries, leaders in ((64, 256, 1 << 21, 4), (3, 256, 200, 4), (3, 20, 1 << 21, 1), (2, 7, 500, 0)):
         # postings with signatures, blocks of large ones, chunks, and nothing linked before postings
-        for name, value in (("_SIGNED", signed), ("_BLOCK", block), ("_ENTRIES", entries), ("_LEADERS", leaders)):
+        for name, value in (("_SIGNED", signed), ("_BLOCK", block), ("_GROUP", block), ("_ENTRIES", entries), ("_LEADERS", leaders)):
             monkeypatch.setattr(ngram_join, name, value)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_copies(df).collect())
         assert got == want

@@ -202,3 +202,11 @@ def parts_for(df: DataFrame, mb: int = 64) -> int:
 def adding(df: DataFrame, new: list[str]) -> list[str]:
     """The columns of ``df`` that stay when an operator adds ``new``: a clashing one gives way."""
     return [c for c in df.columns if c not in new]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

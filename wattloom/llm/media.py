@@ -8,6 +8,7 @@ Metadata columns come from range reads of the image header alone.
 
 from __future__ import annotations
 
+import secrets
 import struct
 import tarfile
 import zlib
@@ -109,13 +110,14 @@ def store_media(docs: DataFrame, where: str, text: str = "text", key: str = "doc
     A null or empty text is one row of padding.  Equal texts share one digest and one place: a task
     stores a payload once, and where several tasks stored it all rows point to the first shard's
     copy.  Rows that share a key, or whose key is null, keep rows of their own.  A shard appears under
-    its name when it is whole, and a task that runs again writes the same names.  An empty input has
+    its name when it is whole; the name is of one attempt and in its rows, so rows never point into the shards of
+    another attempt.  An empty input has
     no rows and no shards.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, shard, n_shards, seen = TaskContext.get().partitionId(), None, 0, {}
+        attempt, shard, n_shards, seen = TaskContext.get().partitionId() << 20 | secrets.randbits(20), None, 0, {}
         for batch in batches:
             sizes, digests, places = [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
@@ -126,7 +128,7 @@ def store_media(docs: DataFrame, where: str, text: str = "text", key: str = "doc
                     if shard is None or shard.out.size > _ROLL:
                         if shard is not None:
                             shard.close()
-                        number = (task << _SHARD_BITS) + n_shards
+                        number = (attempt << _SHARD_BITS) + n_shards
                         shard, n_shards = _TarShard(shard_uri(where, number)), n_shards + 1
                     image = encode_png(payload)
                     seen[digest] = (number, shard.add(f"{digest.hex()}.png", image), len(image))

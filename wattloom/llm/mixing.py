@@ -52,18 +52,19 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     stratum meets its target within a word, and no task holds a source.
 
     Columns of the added names give way.  Null texts have no words; null sources are one source, last
-    in order; null keys and rows that share a key are ordered by size and then alike.  With no words
+    in order; rows with a null key are dealt by their text; rows that share a key are ordered by size and
+    then alike.  With no words
     at all, all targets are 0.  An empty input has no rows.
     """
     kept = C.adding(docs, _ADDED)
     sized = docs.select(*kept, words(text).alias("size"))
     per = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = water_fill(per, cap, weights).select(F.col("source").alias("_w_source"), "source_size", "n", "target")
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    plan = water_fill(per, cap, weights).select(F.col("source").alias("_w_source"), "source_size", F.col("n").alias("_w_n"), "target")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.md5(text))))
     rows = (
         sized.join(plan, F.col(source).eqNullSafe(F.col("_w_source")))
         .withColumn("_w_draw", drawn)
-        .withColumn("_w_salt", F.conv(F.substring("_w_draw", 1, 8), 16, 10).cast("long") % F.ceil(F.col("n") / _STRATUM))
+        .withColumn("_w_salt", F.conv(F.substring("_w_draw", 1, 8), 16, 10).cast("long") % F.ceil(F.col("_w_n") / _STRATUM))
         .withColumn("_w_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     )
     stratum = Window.partitionBy("_w_source", "_w_salt")

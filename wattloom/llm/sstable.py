@@ -13,6 +13,7 @@ as unsigned little-endian 16-bit numbers where all ids of a shard's tokenizer fi
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -182,15 +183,18 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str, end_id: int, text:
 
     The rows are dealt by ranges of the key.  A null or empty text is the end id alone; a null key
     comes first; rows that share a key lie in one shard, ordered by text.  A task publishes its shard
-    by renaming it, under a name that its attempts share.  An empty input has no shards.
+    by renaming it, under a name of its attempt, which is in the manifest's row; so the manifest and the shards
+    are of the same attempts.  Keys are whole numbers (TypeError otherwise).  An empty input has no shards.
     """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a whole number, not {dict(docs.dtypes)[key]}")
     end = end_id.to_bytes(4, "little")
     n = shards or C.parts_for(docs)
     dealt = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
-        uri, first, last = f"{where}/shard-{task:08d}.sst", None, None
+        uri, first, last = f"{where}/shard-{task:08d}-{uuid.uuid4().hex[:12]}.sst", None, None
         for batch in batches:
             for k, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:

@@ -84,7 +84,7 @@ class TokenRollup:
         at = f"{self.root}/generation={g}/batch={batch}"
         if batch in self.committed() and batch not in self._names(f"{self.root}/generation={g}", "batch="):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(at)
+        signed(changes).write.mode("overwrite").parquet(at)
         return True
 
     def totals(self) -> DataFrame:
@@ -104,7 +104,7 @@ class TokenRollup:
         """
         g, names = self._now(), sorted(self.committed())
         self.spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(f"{self.root}/generation={g + 1}/folded")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/generation={g + 1}/batch=_snapshot")
+        self.totals().write.mode("overwrite").parquet(f"{self.root}/generation={g + 1}/batch=_snapshot")
 
 
 def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
