@@ -22,7 +22,18 @@ _made: list[str] = []
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows travel to and from Python workers by 8 MB at most, where the session has Spark's default (64 MB).
+
+    A batch is held several times over, by the JVM and by the worker; whole texts would fill the large ones.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") == "67108864b":
+        spark.conf.set(name, "8388608b")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -32,6 +43,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Where that is unset, a temporary folder is set for a local master (one machine holds all tasks);
     on a cluster an unset folder is an error, since executors share no local folder.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):

@@ -33,15 +33,15 @@ from . import common as C
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse
-_SALTS = tuple(map(np.uint64, (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)))
+_SALTS = tuple(map(np.uint64, (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)))
 _BITS = 48  # of a shingle's hash
 _FIRST = 3 << (_BITS - 3)  # the part of the hash range that the first deal sends: three eighths
 _ENTRIES = 1 << 21  # of a chunk, which a task holds at once
 _SLOTS = 60_000  # sets of a chunk; two bytes name one
 _MANY = 0xFFFF  # in a set's place: several sets of the chunk
 _SENT_IDS = 4 << 20  # keys that may be broadcast
-_LEADERS = 4  # that sets of a group with one least hash meet
-_BLOCK = 256  # sets of a group that are compared at once
+_GROUP = 256  # sets of a group with one least hash that are compared until each has a leader
+_BLOCK = 2048  # signatures of a posting that are compared at once
 _SIGNED = 64  # a posting above so many sets carries signatures
 _AGAIN = np.dtype([("token", "<u8"), ("count", "<u4")])
 
@@ -318,7 +318,7 @@ def _differ(x: bytes, y: bytes) -> int:
 
 def _sets_of(percent: int):
     """(node, n, tokens, p0, p1, sig, stars) of a chunk's sets that may still have a link: the shingles that
-    other sets hold, the prefixes under two orders as far as shared, the signature, two least hashes."""
+    other sets hold, the prefixes under two orders as far as shared, the signature, three least hashes."""
 
     def own(table: pa.Table) -> pa.Table:
         head, answers, dfs = _split(table)
@@ -368,26 +368,29 @@ def _similar(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int) -> bool
 
 
 def _led(percent: int):
-    """Links of sets to the first leader that they are similar to, in each group of a pack."""
+    """Links of sets to the leaders that they are similar to, one of those already joined, in each group of a pack; a set
+    without any leads."""
 
     def own(table: pa.Table) -> pa.Table:
         s, h, salt, node, n = (table.column(c).to_numpy() for c in ("s", "h", "salt", "node", "n"))
         tokens = table.column("tokens").combine_chunks()
         flat, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
         order = np.lexsort((node, node != table.column("pivot").to_numpy(), salt, h, s))
-        a, b, group, leaders = [], [], None, []
+        a, b, group, leaders, joined = [], [], None, [], {}
         for r in order.tolist():
             if (s[r], h[r], salt[r]) != group:
-                group, leaders = (s[r], h[r], salt[r]), []
-            mine = flat[ends[r] : ends[r + 1]]
+                group, leaders, joined = (s[r], h[r], salt[r]), [], {}
+            mine, met = flat[ends[r] : ends[r + 1]], set()  # met: leaders, by the least that they are joined with
             for q, other in leaders:
-                if node[q] == node[r] or _similar(mine, int(n[r]), other, int(n[q]), percent):
+                if joined[q] not in met and (node[q] == node[r] or _similar(mine, int(n[r]), other, int(n[q]), percent)):
+                    met.add(joined[q])
                     a.append(node[q])
                     b.append(node[r])
-                    break
-            else:
-                if len(leaders) < _LEADERS:
-                    leaders.append((r, mine))
+            if not met:
+                leaders.append((r, mine))
+                joined[r] = r
+            elif len(met) > 1:
+                joined = {q: min(met) if k in met else k for q, k in joined.items()}
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return own
@@ -397,7 +400,7 @@ def _star_links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links of sets with the same least hash to leaders; large groups are cut into blocks that share one leader."""
     keyed = sets.select("node", F.posexplode("stars").alias("s", "h"))
     groups = keyed.groupBy("s", "h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
+    blocks = F.ceil(F.col("m") / _GROUP).cast("int")
     salts = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
     rows = keyed.join(groups, ["s", "h"]).select("s", "h", "pivot", "node", F.explode(salts).alias("salt"))
     full = rows.join(sets.select("node", "n", "tokens"), "node").withColumn("pack", _pack(parts, "s", "h", "salt"))
@@ -433,11 +436,21 @@ def _folded(sigs: list[bytes], words: int) -> np.ndarray:
 
 
 def _large_pairs(percent: int):
-    """The same of two blocks of a large posting, or within one, if they pass the test on signatures too."""
+    """The same of two blocks of a large posting, or within one, if they pass the test on signatures too.
+
+    A pair comes from the first of its shared prefix shingles: none ``ahead`` of this one in either prefix is shared.
+    """
 
     def own(table: pa.Table) -> pa.Table:
         task, side, o, node, n, held, comp = (table.column(c).to_numpy() for c in ("task", "side", "o", "node", "n", "held", "comp"))
         sig, inside = table.column("sig").to_pylist(), table.column("inside").to_numpy(zero_copy_only=False)
+        lists, ahead = table.column("ahead").combine_chunks(), {}
+
+        def before(r: int) -> frozenset:
+            if r not in ahead:
+                ahead[r] = frozenset(lists[r].as_py())
+            return ahead[r]
+
         order = np.lexsort((node, side, task))
         found = [np.zeros((0, 3), dtype=np.int64)]
         for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
@@ -464,6 +477,7 @@ def _large_pairs(percent: int):
                     y, b = y[ok], held_bits[words, to][ok]
                     differ = np.bitwise_count(b ^ _folded([sig[x]], to)).sum(axis=1, dtype=np.int64)
                     y = y[differ * (100 + percent) <= (held[x] + held[y]) * (100 + percent) - 2 * percent * (n[x] + n[y])]
+                    y = np.array([r for r in y.tolist() if before(r).isdisjoint(before(x))], dtype=np.int64)
                     if len(y):
                         found.append(np.stack([np.full(len(y), o[x]), np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -487,10 +501,11 @@ def _met_in_large(large: DataFrame, sets: DataFrame, percent: int, parts: int) -
     none = F.filter(with_main, lambda x: F.lit(False))
     with_others = F.transform(all_blocks, lambda j: place(F.least("own", j), F.greatest("own", j), 1, (F.col("own") > j).cast("int")))
     to = F.when(F.col("is_main"), F.transform(all_blocks, lambda j: place(F.col("own"), j, 0, F.lit(0)))).otherwise(F.concat(F.when(has_main, with_main).otherwise(none), with_others))
-    dealt = rows.select("o", "token", "node", "comp", F.explode(to).alias("to")).select("o", "token", "node", "comp", "to.*")
-    dealt = dealt.join(sets.select("node", "n", F.size("tokens").cast("long").alias("held"), "sig"), "node")
+    dealt = rows.select("o", "token", "pos", "node", "comp", F.explode(to).alias("to")).select("o", "token", "pos", "node", "comp", "to.*")
+    dealt = dealt.join(sets.select("node", "n", F.size("tokens").cast("long").alias("held"), "sig", "p0", "p1"), "node")
+    dealt = dealt.withColumn("ahead", F.slice(F.when(F.col("o") == 0, F.col("p0")).otherwise(F.col("p1")), F.lit(1), F.col("pos")))
     dealt = dealt.withColumns({"task": F.xxhash64("o", "token", "kind", "i", "j"), "inside": (F.col("kind") == 1) & (F.col("i") == F.col("j")), "o": F.col("o").cast("long")})
-    dealt = dealt.select(_pack(parts, "task").alias("pack"), "task", "side", "o", "node", "n", "held", "comp", "sig", "inside")
+    dealt = dealt.select(_pack(parts, "task").alias("pack"), "task", "side", "o", "node", "n", "held", "comp", "sig", "inside", "ahead")
     return dealt.groupBy("pack").applyInArrow(_large_pairs(percent), "o long, a long, b long")
 
 
@@ -500,13 +515,13 @@ def _candidates(sets: DataFrame, comps: DataFrame, percent: int, parts: int, whe
     marked = sets.select("node", "n", "p0", "p1").join(sized, "node", "left")
     marked = C.durable(marked.select("node", "n", "p0", "p1", F.coalesce("component", "node").alias("comp"), F.coalesce("of", F.lit(1)).alias("of")), "marked", f"{where}/marked")
     row = ("node", "n", "comp", "of")
-    entries = marked.select(F.lit(0).alias("o"), F.explode("p0").alias("token"), *row).unionByName(marked.select(F.lit(1).alias("o"), F.explode("p1").alias("token"), *row))
+    entries = marked.select(F.lit(0).alias("o"), F.posexplode("p0").alias("pos", "token"), *row).unionByName(marked.select(F.lit(1).alias("o"), F.posexplode("p1").alias("pos", "token"), *row))
     mixed = entries.groupBy("o", "token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("of", "comp")).alias("top"))
     mixed = mixed.filter("lo <> hi").select("o", "token", "m", F.col("top.comp").alias("main"))
-    rows = C.durable(entries.join(mixed, ["o", "token"]).select("o", "token", "node", "n", "comp", "m", "main"), "entries", f"{where}/entries")
+    rows = C.durable(entries.join(mixed, ["o", "token"]).select("o", "token", "pos", "node", "n", "comp", "m", "main"), "entries", f"{where}/entries")
     small = rows.filter(F.col("m") <= _SIGNED).select(_pack(parts, "o", "token").alias("pack"), F.col("o").cast("long").alias("o"), "token", "node", "n", "comp")
     pairs = small.groupBy("pack").applyInArrow(_small_pairs(percent), "o long, a long, b long")
-    pairs = pairs.unionByName(_met_in_large(rows.filter(F.col("m") > _SIGNED).select("o", "token", "node", "comp", "m", "main"), sets, percent, parts))
+    pairs = pairs.unionByName(_met_in_large(rows.filter(F.col("m") > _SIGNED).select("o", "token", "pos", "node", "comp", "m", "main"), sets, percent, parts))
     both = pairs.groupBy("a", "b").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi").select("a", "b")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.size("tokens").cast("long").alias(f"h{k}"), F.col("sig").alias(f"s{k}"))
     full = both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb", "sa", "sb")
@@ -574,8 +589,9 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its component, and all with a null key."""
-    found = near_copies(docs, text, key, **how).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_w_key")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_w_key")), "left_semi")
+    own = C.unused(docs, "_kept_key")
+    found = near_copies(docs, text, key, **how).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(own)).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col(own)), "left_semi")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,7 @@ def pack(
         if rows:
             yield out()
 
+    C.small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text)).mapInArrow(C.tidy(run), f"`{key}` {kind}, {PIECE}")
 
 

@@ -342,6 +342,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     Null, empty and blank texts have no tokens and get the curve's lowest score.  Every line of a
     text is one sequence, however long.  Equal texts score alike.  An empty input has no rows.
     """
+    C.small_batches(docs.sparkSession)
     kept = C.adding(docs, ["score", "predicted", "toxic_spans"])
     at = kept.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -351,8 +352,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             scores, spans = [], []
-            for i in range(0, len(texts), 1000):
-                some = texts[i : i + 1000]
+            for i in range(0, len(texts), 500):
+                some = texts[i : i + 500]
                 for t, (s, own) in zip(some, scorer.score(some), strict=True):
                     scores.append(s)
                     spans.append(spans_of(t or b"", own))
