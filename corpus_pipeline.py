@@ -53,7 +53,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that five documents or more share stay in one of them, that of the largest key.
 
     Every row stays, a text without lines left as an empty one; a null text becomes an empty one.  Rows that
-    share a key are one document; a null key counts as no document, and its common lines go.
+    share a key are one document; rows with a null key are one document too, smaller than all others.
     """
     return _carrying(docs, line_dedup.drop_repeated_lines, _KEY, _TEXT)
 
