@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     A batch is held several times over, by the JVM and by the worker; whole texts would fill the large ones.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") == "67108864b":
+    if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, "8388608b")
 
 
