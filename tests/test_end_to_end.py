@@ -58,17 +58,78 @@ def test_stages(spark, store):
     assert cli.main(["check-data", "--load", at("load/day1.csv")]) == 0 and cli.main(["preview", "--load", at("none")]) == 1
 
 
+def test_a_broken_ingest_goes_on(spark, store, monkeypatch):
+    out, write = store / "broken", cli.sinks.write_table
+    args = ["ingest", "--load", str(store / "load"), "--mapping", str(store / "mapping"), "--out", str(out)]
+    parts = []
+
+    def fails(df, path, **how):
+        if len(parts) == 2 and not (store / "load" / "day9.csv").exists():
+            (store / "load" / "day9.csv").write_text((store / "load" / "day1.csv").read_text().replace("01.06.2024", "09.06.2024"))  # arrives meanwhile
+            raise OSError("broke off")
+        parts.append(path)
+        write(df, path, **how)
+
+    monkeypatch.setattr(cli.sinks, "write_table", fails)
+    with pytest.raises(OSError, match="broke off"):
+        cli.main(args)
+    assert len(cli.sinks.finished_files(spark, f"{out}/manifest.json", {"load": str(store / "load")})) == 2
+    assert cli.main(args) == 0
+    (store / "load" / "day9.csv").unlink()
+    written = [p for p in parts if "/parts/" in p]
+    assert len(written) == len(set(written)) == 5 and spark.read.parquet(str(out / "series")).count() == 2 * 5 * 96
+
+
+def test_training_chain(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows, flags = [], []
+    for i in range(240):
+        pv, ev, hp, battery = (int(rng.random() < 0.4) for _ in range(4))
+        battery = int(battery or (pv and rng.random() < 0.8))
+        noise = lambda s=0.25: float(rng.normal() * s)  # noqa: B023, E731
+        rows.append((i, 0.3 * pv + noise(0.1), ev + noise(), hp + noise(), 0.4 * battery + noise(), None))
+        known = i % 3 != 0
+        flags.append((i, *[(x if known else None) for x in (pv, ev, hp, battery)]))
+    spark.createDataFrame(rows, "gp_nr bigint, days_with_export_ratio double, b double, c double, d double, empty double").write.parquet(str(tmp_path / "features"))
+    names = ("pv", "ev", "heatpump", "battery")
+    lab = spark.createDataFrame(flags, "gp_nr bigint, " + ", ".join(f"label_{a} int" for a in names))
+    for a in names:
+        lab = lab.selectExpr("*", f"cast(null as date) as commissioned_{a}")
+    lab.write.parquet(str(tmp_path / "labels"))
+    assert cli.main(["train", "--features", str(tmp_path / "features"), "--labels", str(tmp_path / "labels"), "--out", str(tmp_path / "p"), "--folds", "3", "--rounds", "8"]) == 0
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert got.columns == ["gp_nr", *[f"{k}_{a}" for a in scoring.TRAIN_ORDER for k in ("raw", "prob", "shap")]] and got.count() == 240
+    rows = got.collect()
+    assert all(0 <= r[f"prob_{a}"] <= 1 and len(r[f"shap_{a}"]) >= 4 for r in rows for a in names)
+    m = {(r.asset, r.scorer, r.subset): r for r in spark.read.parquet(str(tmp_path / "p_metrics")).collect()}
+    assert len(m) == 4 * 3 * 2 and m["ev", "model", "registry"].roc_auc > 0.9 and m["ev", "model", "all"].n == 240 and m["ev", "model", "registry"].n == 160
+    assert m["pv", "baseline", "registry"].roc_auc > 0.6 and m["heatpump", "calibrated", "registry"].brier <= m["heatpump", "baseline", "registry"].brier
+    gains = {(r.asset, r.feature): r.gain for r in spark.read.parquet(str(tmp_path / "p_importance")).collect()}
+    assert ("battery", scoring.SECOND_STAGE) in gains and not any(f == scoring.SECOND_STAGE for a, f in gains if a != "battery") and not any(f == "empty" for _, f in gains)
+
+
+def test_entry_without_the_corpus_package(tmp_path):
+    """The domain queries stay where that package, or what it needs, can't be imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; sys.modules['zstandard'] = None; sys.modules['wattloom.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[1])
+    assert said.returncode == 0 and int(said.stdout.split()[0]) >= 80, said.stderr
+
+
 def test_contributions_add_up_to_the_log_odds(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3))
     rows = [(i, *map(float, r), int(r[0] + r[1] * r[2] > 0), 1.0) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "gp_nr bigint, a double, b double, c double, label int, weight double")
-    _, model, _ = scoring.train_boosted(df, ["a", "b", "c"], folds=2, rounds=3)
+    model = scoring.train_boosted(df, ["a", "b", "c"], folds=2, rounds=3).model
     leaves = explain.leaves_of(model)
     phi, base = explain.contributions(leaves, x)
     from pyspark.ml.functions import vector_to_array
 
-    raw = {r.gp_nr: r.m for r in model.transform(cli.scoring_frame(df, ["a", "b", "c"])).select("gp_nr", (2 * vector_to_array("rawPrediction")[1]).alias("m")).collect()}
+    raw = {r.gp_nr: r.m for r in model.transform(scoring.vectors(df, ["a", "b", "c"])).select("gp_nr", (2 * vector_to_array("rawPrediction")[1]).alias("m")).collect()}
     assert np.allclose(phi.sum(axis=1) + base, [raw[i] for i in range(200)], atol=1e-9)
     top = explain.explain(df, model, ["a", "b", "c"], top=2).collect()
     assert len(top) == 200 and all(len(r.contributions) == 2 and abs(r.contributions[0].contribution) >= abs(r.contributions[1].contribution) for r in top)

@@ -173,6 +173,8 @@ def test_generation_heating_and_battery(spark):
     winter = [0.5 + 2.0 * ((i // 2) % 2) for i in range(96)]
     h = one(detectors.heating_days(day_series(spark, winter, day="2024-01-10", temperature_2m=[5.0 - k for k in winter])))
     assert h.type == "heat_pump_heating" and h.confidence == 0.9
+    block = lambda a, b: detectors.heating_days(day_series(spark, [2.0 if a <= i < b else 0.1 for i in range(96)], day="2024-01-10", temperature_2m=[0.0] * 96)).count()
+    assert block(8, 60) == 0 and block(17, 39) == 1 and block(15, 39) == 0 and block(17, 42) == 0  # a run counts only if it lies in the morning as a whole
     idle = [0.0 if 28 <= i < 40 or 70 <= i < 80 else 1.0 for i in range(96)]
     b = detectors.battery_cycles(day_series(spark, idle, export_kw=[0.5 if i == 48 else 0.0 for i in range(96)], net_kw=idle, shortwave_radiation=sun)).collect()
     assert len(b) == 2 and {x.confidence for x in b} == {0.8}
@@ -205,14 +207,54 @@ def test_day_grid_events_and_documents(spark):
 
 
 def test_bands_search_boxes_and_round_robin(spark):
-    ev = spark.createDataFrame([(1, -30, 60), (2, 1400, 1500), (3, 0, 2000), (4, 5, 5)], "k int, s int, e int")
-    assert sorted((r.k, r.a, r.b) for r in export.fold_bands(ev).collect()) == [(1, 0, 60), (1, 1410, 1440), (2, 0, 60), (2, 1400, 1440), (3, 0, 1440)]
+    ev = spark.createDataFrame([(1, -30, 60), (2, 1400, 1500), (3, 0, 2000), (4, 5, 5), (5, 1500, 1600), (6, 100, 1600), (7, -200, -10), (8, -10, 1440)], "k int, s int, e int")
+    assert sorted((r.k, r.a, r.b) for r in export.fold_bands(ev).collect()) == [(1, 0, 60), (1, 1410, 1440), (2, 0, 60), (2, 1400, 1440), (3, 0, 1440), (6, 0, 160), (6, 100, 1440), (8, 0, 1440)]
     places = spark.createDataFrame([("Zürich", "8000"), ("Genève", "1200")], "city string, plz string")
     assert [r.city for r in export.search(places, "zuri 80", ["city", "plz"]).collect()] == ["Zürich"] and export.search(places, "", ["city"]).count() == 2
     areas = spark.createDataFrame([("a", [[[1.0, 2.0], [3.0, 0.5]]])], "k string, coordinates array<array<array<double>>>")
     assert tuple(one(export.ring_boxes(areas, "k")))[1:] == (1.0, 0.5, 3.0, 2.0)
     r = spark.createDataFrame([(1, "a", 9), (2, "a", 8), (3, "b", 1)], "gp_nr bigint, plz string, s int")
     assert [x.gp_nr for x in export.round_robin(r, "plz", [F.desc("s")], 2).collect()] == [1, 3]
+    r = spark.createDataFrame([(1, "a", 9), (2, "a", 2), (3, "b", 5), (4, "b", 4), (5, None, 1)], "gp_nr bigint, plz string, s int")
+    assert [x.gp_nr for x in export.round_robin(r, "plz", [F.desc("s")], 5).collect()] == [1, 3, 5, 2, 4]  # groups keep their order in later turns
+
+
+def test_featured_ranks_by_sure_and_right_assets(spark):
+    preds = spark.createDataFrame([(1, 0.9, 0.9, 0.6, 0.6), (2, 0.85, 0.85, 0.85, 0.1), (3, 0.9, 0.1, 0.1, 0.1)], "gp_nr bigint, prob_pv double, prob_ev double, prob_heatpump double, prob_battery double")
+    labels = spark.createDataFrame([(k, 1, 1, 1, 1) for k in (1, 2, 3)], "gp_nr bigint, label_pv int, label_ev int, label_heatpump int, label_battery int")
+    kinds = spark.createDataFrame([(k, 3) for k in (1, 2, 3)], "gp_nr bigint, n_event_types int")
+    meters = spark.createDataFrame([(k, 1) for k in (1, 2, 3)], "gp_nr bigint, num_mp_ids int")
+    rows = export.featured_candidates(preds, labels, kinds, meters).orderBy(F.desc("agree"), F.desc("total")).collect()
+    assert [(r.gp_nr, r.agree) for r in rows] == [(2, 3), (1, 2)]
+
+
+def test_overlaps_are_met_by_the_day(spark):
+    ev = spark.createDataFrame([(1, at("2024-01-01", 0), at("2024-01-01", 60)), (1, at("2024-01-01", 23 * 60), at("2024-01-02", 60)), (1, at("2024-01-05", 0), at("2024-01-05", 15)), (2, at("2024-01-01", 0), at("2024-01-01", 60))], "gp_nr bigint, start timestamp_ntz, end timestamp_ntz").withColumnRenamed("end", "end")
+    claims = spark.createDataFrame([(1, at("2024-01-01", 60), at("2024-01-01", 90)), (1, at("2024-01-02", 30), at("2024-01-04", 0)), (1, at("2024-01-05", 5), at("2024-01-05", 5))], "gp_nr bigint, start timestamp_ntz, end timestamp_ntz")
+    assert sorted((r.gp_nr, r.start) for r in detectors.not_overlapping(ev, claims).collect()) == [(1, at("2024-01-01", 0)), (2, at("2024-01-01", 0))]
+
+
+def test_folds_deal_each_class_evenly(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = scoring.stratified_folds(df, "y", 5, "k").groupBy("y", "fold").count().collect()
+    assert sorted(r["count"] for r in rows if r.y == 1) == [66, 67, 67, 67, 67] and sorted(r["count"] for r in rows if r.y == 0) == [133, 133, 133, 133, 134]
+
+
+def test_rule_baselines(spark):
+    f = spark.createDataFrame([(1, 0.06, None, 0.2), (2, 0.05, -0.5, 0.2), (3, None, None, None)], "gp_nr bigint, days_with_export_ratio double, correlation_solar_radiation_consumption double, evening_near_zero_ratio double").withColumns({"sunny_day_midday_mean": F.lit(1.0), "cloudy_day_midday_mean": F.lit(2.0)})
+    got = {r.gp_nr: (r.base_pv, r.base_battery, r.base_heat_pump, r.base_ev) for r in scoring.baseline_scores(f).collect()}
+    assert got == {1: (0.9, 0.7, 0.15, 0.15), 2: (0.7, 0.1, 0.15, 0.15), 3: (0.2, 0.1, 0.15, 0.15)}
+    full = f.withColumns({"sessions_per_week": F.lit(1), "session_median": F.lit(3), "winter_night_mean_consumption": F.lit(2.1), "summer_night_mean_consumption": F.lit(1.0), "correlation_outside_temperature_consumption": F.lit(-0.31)})
+    assert {(r.base_heat_pump, r.base_ev) for r in scoring.baseline_scores(full).collect()} == {(0.8, 0.85)}
+
+
+def test_calibration_takes_registry_rows_and_falls_back(spark):
+    rows = [(0.2, 0, 1.0, "registry"), (0.8, 1, 1.0, "registry"), *[(0.8, 0, 1.0, "unlabeled")] * 9]
+    df = spark.createDataFrame(rows, "score double, label int, weight double, source string")
+    top = lambda model: max(r.prob for r in scoring.calibrated(model, df).collect())
+    assert top(scoring.calibrate(df, source="source")) == 1.0 and top(scoring.calibrate(df)) < 0.2
+    assert top(scoring.calibrate(df.filter("score = 0.8 or source = 'unlabeled'"), source="source")) < 0.2  # one label in the registry: all rows
+    assert sorted({round(r.prob, 9) for r in scoring.calibrated(scoring.calibrate(df.filter("label = 0")), df).collect()}) == [0.2, 0.8]  # one label at all: the score
 
 
 def test_metrics_with_ties(spark):
@@ -228,7 +270,8 @@ def test_boosted_trees_tell_an_easy_class(spark):
     rows = [(i, float(i % 7), None if i % 5 == 0 else float(i), int(i % 7 > 3), 1.0) for i in range(140)]
     df = spark.createDataFrame(rows, "gp_nr bigint, a double, b double, label int, weight double")
     assert scoring.usable_features(df.withColumn("none", F.lit(None).cast("double")), ["gp_nr", "label", "weight"]) == ["a", "b"]
-    oof, model, _ = scoring.train_boosted(df, ["a", "b"], folds=2, rounds=3)
+    fitted = scoring.train_boosted(df, ["a", "b"], folds=2, rounds=3)
+    oof, model = fitted.oof, fitted.model
     assert one(scoring.roc_auc(oof.withColumnsRenamed({"label": "y", "weight": "w"}).withColumn("k", F.lit(1)), ["k"])).roc_auc > 0.95
     assert scoring.importance(model, ["a", "b"])[0][0] == "a"
     p = [r.prob for r in scoring.calibrated(scoring.calibrate(oof), oof).orderBy("score").collect()]
@@ -239,7 +282,11 @@ def test_quality(spark):
     df = spark.createDataFrame([("31.12.2024", "ja"), ("01.01.2024", "nein"), ("bad", " X ")], "d string, m string")
     r = one(quality.best_date_format(df, "d"))
     assert (r.format, r.n_parsed, r.first) == ("dd.MM.yyyy", 2, date(2024, 1, 1))
-    assert [(r.column, r.n) for r in quality.yes_counts(df, ["m", "d"]).collect()] == [("m", 2)]
+    assert [(r.column, r.n) for r in quality.yes_counts(df.withColumn("one", F.lit(1)), ["m", "d", "one"]).collect()] == [("m", 2)]
+    assert tuple(one(quality.best_date_format(spark.createDataFrame([("31.12.98",), ("01.02.24",), ("2024-01-01",)], "d string"), "d"))) == ("dd.MM.yy", 2, date(1998, 12, 31), date(2024, 2, 1))
+    assert one(quality.best_date_format(spark.createDataFrame([("31.12.2024 23:59:59",)], "d string"), "d")).format == "dd.MM.yyyy HH:mm:ss" and one(quality.best_date_format(spark.createDataFrame([("x",)], "d string"), "d")).format is None
+    units = [one(quality.unit_guess(spark.createDataFrame([(float(x),) for x in v], "s double"), "s")).unit for v in ((10, 20), (30, 51), (39, 40))]
+    assert units == ["kwh_per_15min", "kw", "kwh_per_15min"] and one(quality.unit_guess(spark.createDataFrame([], "s double"), "s")).unit == "kw"
     assert [tuple(r) for r in registry.explode_keys(spark.createDataFrame([("500001 / 500002",), ("12",)], "c string"), "c", 6).orderBy("key").collect()] == [("12", None), ("500001 / 500002", 500001), ("500001 / 500002", 500002)]
     gaps = spark.createDataFrame([("p", at("2024-01-01", m)) for m in (0, 0, 60, 180)], "plz string, ts timestamp_ntz")
     assert tuple(one(weather.gap_report(gaps)))[1:] == (4, 1, 1)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import detectors, export, features, ingest, quality, registry, scoring, weather
@@ -15,14 +17,21 @@ ASSETS = ("pv", "ev", "heatpump", "battery")
 
 
 def run_ingest(spark, a) -> None:
-    """Wide files and a meter mapping (mp_id, gp_nr) to the series; files done before are left out."""
-    todo = sinks.check_resume(spark, f"{a.out}/manifest.json", {"load": a.load}, files.list_files(spark, a.load))[: a.limit_files]
+    """Wide files and a meter mapping (mp_id, gp_nr) to the series.
+
+    Every file has a part of its own and, once that is written, an entry in the manifest; so a run that broke off
+    goes on with the files that are left, and a file that arrives meanwhile is left for the next run.  Files done
+    before keep their entries.
+    """
+    config, at = {"load": a.load}, f"{a.out}/manifest.json"
     mapping = spark.read.parquet(a.mapping)
-    for path, _, _ in todo:
+    done = sinks.finished_files(spark, at, config)
+    todo = sinks.check_resume(spark, at, config, files.list_files(spark, a.load))[: a.limit_files]
+    for path, size, time in todo:
         part = ingest.ingest(files.read_delimited(spark, path), mapping)
         sinks.write_table(part, f"{a.out}/parts/source={sinks.config_hash({'path': path})[:16]}")
-    done = files.list_files(spark, a.load) if a.limit_files is None else todo
-    sinks.write_manifest(spark, f"{a.out}/manifest.json", "ingest", {"load": a.load}, {"files": len(todo)}, done)
+        done = [f for f in done if f[0] != path] + [(path, size, time)]
+        sinks.write_manifest(spark, at, "ingest", config, {"files": len(done)}, done)
     sinks.write_table(ingest.resum_parts(spark.read.parquet(f"{a.out}/parts")), f"{a.out}/series", sort=["gp_nr", "ts"])
 
 
@@ -52,24 +61,17 @@ def run_events(spark, a) -> None:
 
 
 def run_train(spark, a) -> None:
+    """Predictions at ``out``; metrics and importances in tables beside it."""
     table, flags = spark.read.parquet(a.features), spark.read.parquet(a.labels)
-    names = scoring.usable_features(table, ["gp_nr", *[f"label_{x}" for x in ASSETS]])
-    out = table.select("gp_nr")
-    for asset in ASSETS:
-        labels = registry.training_labels(flags, asset, others=list(ASSETS))
-        rows = table.join(labels.select("gp_nr", "label", "weight"), "gp_nr")
-        oof, model, score = scoring.train_boosted(rows, names, folds=scoring.fold_count(labels, "label"))
-        final = score(model, scoring.stratified_folds(scoring_frame(table, names), "label", 1, "gp_nr"))
-        probs = scoring.calibrated(scoring.calibrate(oof), scoring.stack(oof, final, "gp_nr", "score"))
-        out = out.join(probs.select("gp_nr", F.col("prob").alias(f"prob_{asset}")), "gp_nr", "left")
-    sinks.write_table(out, a.out)
-
-
-def scoring_frame(table, names):
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = table.select("gp_nr", F.lit(0).alias("label"), F.lit(1.0).alias("weight"), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(-999.0)).alias(c) for c in names])
-    return VectorAssembler(inputCols=names, outputCol="features").transform(filled)
+    known = [x for x in ASSETS if f"label_{x}" in flags.columns]
+    names = scoring.usable_features(table, ["gp_nr", *[c for c in table.columns if c.startswith("label_")]])
+    labels = reduce(DataFrame.unionByName, [registry.training_labels(flags, x, others=known) for x in known])
+    if a.show_labels:
+        registry.label_counts(labels).show()
+    predictions, metrics, gains = scoring.train_assets(table, labels, names, folds=a.folds, rounds=a.rounds)
+    sinks.write_table(predictions, a.out)
+    sinks.write_table(metrics, f"{a.out}_metrics")
+    sinks.write_table(gains, f"{a.out}_importance")
 
 
 def run_export(spark, a) -> None:
@@ -80,6 +82,9 @@ def run_export(spark, a) -> None:
     meters = series.groupBy("gp_nr").agg(F.max("num_mp_with_data").alias("num_mp_ids"))
     ranked = export.featured_candidates(probs, labels, shown.select("gp_nr", "n_event_types"), meters, a.min_types).join(buildings.select("gp_nr", "plz"), "gp_nr")
     featured = export.round_robin(ranked, "plz", [F.desc("agree"), F.desc("total"), F.col("gp_nr")], a.featured)
+    found = featured.agg(F.count(F.lit(1)), F.count_distinct("plz")).first()
+    if found[0] < a.featured or found[1] < a.min_plz:
+        print(f"featured: {found[0]} of {a.featured}, over {found[1]} places ({a.min_plz} wanted)", file=sys.stderr)
     others = export.sample_others(buildings, featured, a.others)
     chosen = buildings.join(featured.select("gp_nr").unionByName(others), "gp_nr", "left_semi")
     sinks.write_documents(export.documents(chosen, probs, export.day_grid(series, days), export.day_events(events, days), export.ground_truth(labels), featured), a.out)
@@ -122,7 +127,12 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--limit-files", type=int)
         if name == "features":
             p.add_argument("--labels")
+        if name == "train":
+            p.add_argument("--folds", type=int, default=5)
+            p.add_argument("--rounds", type=int, default=20)
+            p.add_argument("--show-labels", action="store_true")
         if name == "export":
+            p.add_argument("--min-plz", type=int, default=5)
             p.add_argument("--featured", type=int, default=10)
             p.add_argument("--others", type=int, default=200)
             p.add_argument("--min-types", type=int, default=3)

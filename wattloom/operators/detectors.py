@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wattloom.config import DetectorConfig
 from wattloom.functions import exprs as X
 from wattloom.operators import runs
+from wattloom.session import settled
 
 KEY, TS = "gp_nr", "ts"
 EVENT = ["gp_nr", "type", "start", "end", "confidence", "peak_kw", "energy_kwh"]
@@ -84,7 +85,8 @@ def pv_dip_windows(series: DataFrame, c: DetectorConfig = DetectorConfig()) -> D
 
 
 def heating_days(series: DataFrame, c: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Winter days on which load above the summer night's cycles, or runs long early in the morning."""
+    """Winter days on which load above the summer night's cycles, or has a long run that begins and ends within the
+    morning hours."""
     part, season = X.daypart(TS, c.dayparts, "other"), X.season(TS)
     night = part == "night"
     base = series.groupBy(KEY).agg(
@@ -97,7 +99,9 @@ def heating_days(series: DataFrame, c: DetectorConfig = DetectorConfig()) -> Dat
     marked = winter.withColumn("on", on).withColumn("switch", F.coalesce((F.lag("on").over(w) != F.col("on")).cast("int"), F.lit(0)))
     marked = marked.withColumn("switches", F.sum("switch").over(w.rowsBetween(1 - c.hp_window, 0))).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(KEY, "day")))
     full = (F.col("i") >= c.hp_window) | (F.col("rows") <= c.hp_window)
-    early = runs.index_runs(marked.withColumn("hour", F.hour(TS)), F.col("on") & X.in_hours(F.hour(TS), c.hp_hours), [KEY, "day"], "i").groupBy(KEY, "day").agg(F.max("n").alias("early"))
+    hour = F.hour(TS)
+    whole = runs.index_runs(marked, F.col("on"), [KEY, "day"], "i", F.min(hour).alias("first_hour"), F.max(hour).alias("last_hour"))
+    early = whole.filter((F.col("first_hour") >= c.hp_hours[0]) & (F.col("last_hour") < c.hp_hours[1])).groupBy(KEY, "day").agg(F.max("n").alias("early"))
     daily = marked.groupBy(KEY, "day").agg(
         F.max(F.when(full, F.col("switches"))).alias("most"), F.min(F.when(F.col("on"), F.col(TS))).alias("start"), _after(F.max(F.when(F.col("on"), F.col(TS))), c).alias("end"), F.max(F.when(F.col("on"), F.col("import_kw"))).alias("peak_kw"),
         (F.sum(F.when(F.col("on"), F.col("import_kw") - F.col("base"))) * _hours(c)).alias("energy_kwh"), F.max("r").alias("r"),
@@ -122,9 +126,16 @@ def battery_cycles(series: DataFrame, c: DetectorConfig = DetectorConfig()) -> D
 
 
 def not_overlapping(events: DataFrame, claimed: DataFrame) -> DataFrame:
-    """Events of a building that overlap none of its claimed intervals (half-open)."""
-    c = claimed.select(F.col(KEY).alias("_w_key"), F.col("start").alias("_w_start"), F.col("end").alias("_w_end"))
-    return events.join(c, (F.col(KEY) == F.col("_w_key")) & (F.col("start") < F.col("_w_end")) & (F.col("end") > F.col("_w_start")), "left_anti")
+    """Events of a building that overlap none of its claimed intervals (half-open).
+
+    Both sides are taken apart into the days they touch, so that an event meets the claims of its days alone, not
+    all of its building.
+    """
+    days = lambda s, e: F.explode(F.sequence(F.to_date(F.col(s)), F.to_date(F.greatest(s, e))))
+    c = claimed.select(F.col(KEY).alias("_w_key"), F.col("start").alias("_w_start"), F.col("end").alias("_w_end"), days("start", "end").alias("_w_day"))
+    cut = events.select(KEY, "start", "end").distinct().withColumn("_w_of", days("start", "end"))
+    taken = cut.join(c, (F.col(KEY) == F.col("_w_key")) & (F.col("_w_of") == F.col("_w_day")) & (F.col("start") < F.col("_w_end")) & (F.col("end") > F.col("_w_start")), "left_semi")
+    return events.join(taken.select(KEY, "start", "end").distinct(), [KEY, "start", "end"], "left_anti")
 
 
 def high_load_runs(series: DataFrame, c: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -148,8 +159,12 @@ DETECTORS = {"ev_charging": ev_charging, "pv_export": pv_export_days, "pv_dip":
 
 
 def detect(series: DataFrame, c: DetectorConfig = DetectorConfig(), detectors: dict = DETECTORS) -> DataFrame:
-    """All detectors, then the high-load fallback on what they leave."""
-    claimed = reduce(DataFrame.unionByName, [f(series, c) for f in detectors.values()])
+    """All detectors, then the high-load fallback on what they leave.
+
+    The series and the detectors' events are tables: each is made once, however many read it.
+    """
+    series = settled(series, "detector-series")
+    claimed = settled(reduce(DataFrame.unionByName, [f(series, c) for f in detectors.values()]), "claimed")
     return claimed.unionByName(high_consumption(series, claimed, c))
 
 

@@ -86,19 +86,22 @@ def violations(docs: DataFrame, predictions: list[str] = ASSETS) -> DataFrame:
 
 
 def featured_candidates(predictions: DataFrame, labels: DataFrame, n_types: DataFrame, meters: DataFrame, least_types: int = 3, least_assets: int = 2, sure: float = 0.8) -> DataFrame:
-    """Labelled single-meter buildings with enough kinds of events and surely right assets, ranked."""
+    """Labelled single-meter buildings with enough kinds of events and of assets that are surely and rightly
+    predicted (``agree``); ranked by that count, then by the sum of all probabilities (``total``)."""
     j = predictions.join(labels, KEY).join(n_types, KEY).join(meters, KEY)
-    right = X.total_of([F.when((F.col(f"prob_{a}") >= sure) & (F.col(f"label_{a}") == 1), 1).otherwise(0) for a in ASSETS])
-    agree = X.total_of([F.when((F.col(f"prob_{a}") >= 0.5) == (F.col(f"label_{a}") == 1), 1).otherwise(0) for a in ASSETS])
-    out = j.withColumn("right", right).withColumn("agree", agree).withColumn("total", X.total_of([F.col(f"prob_{a}") for a in ASSETS]))
-    return out.filter((F.col("num_mp_ids") == 1) & (F.col("n_event_types") >= least_types) & (F.col("right") >= least_assets))
+    agree = X.total_of([F.when((F.col(f"prob_{a}") >= sure) & (F.col(f"label_{a}") == 1), 1).otherwise(0) for a in ASSETS])
+    out = j.withColumn("agree", agree).withColumn("total", X.total_of([F.col(f"prob_{a}") for a in ASSETS]))
+    return out.filter((F.col("num_mp_ids") == 1) & (F.col("n_event_types") >= least_types) & (F.col("agree") >= least_assets))
 
 
 def round_robin(ranked: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """The best of every group, then the second of every group, until ``n`` rows; in a turn by ``order``."""
-    w = Window.partitionBy(group).orderBy(*order)
-    rows = ranked.withColumn("turn", F.row_number().over(w))
-    return rows.orderBy("turn", *order, group).limit(n)
+    """The best of every group, then the second of every group, until ``n`` rows; groups take their turns in the
+    order of their best rows, in every turn.  A null group is a group."""
+    rows = ranked.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    # a group whose best isn't among the first n takes no turn; so the places are those of n rows
+    best = rows.filter("turn = 1").orderBy(*order, group).limit(n)
+    places = best.withColumn("_w_place", F.row_number().over(Window.orderBy(*order, group))).select(F.col(group).alias("_w_group"), "_w_place")
+    return rows.join(places, F.col(group).eqNullSafe(F.col("_w_group"))).orderBy("turn", "_w_place").limit(n).drop("_w_group", "_w_place")
 
 
 def sample_others(ids: DataFrame, taken: DataFrame, n: int, seed: int = 0, key: str = KEY) -> DataFrame:
@@ -141,17 +144,16 @@ def primary_row(rows: DataFrame, key: str, by: str, cols: list[str]) -> DataFram
 
 
 def fold_bands(events: DataFrame) -> DataFrame:
-    """Events (gp_nr, s, e: minutes, which may leave the day) as bands within 0..1440: what sticks out on
-    one side comes in on the other, a day or more is the whole day, empty bands go."""
-    whole = F.col("e") - F.col("s") >= 1440
+    """Events (gp_nr, s, e: minutes, which may leave the day) as bands of the day: what sticks out on one side
+    comes in on the other.  An event outside the day has none, one that covers it is the whole day, empty bands go."""
     s, e = F.col("s"), F.col("e")
-    parts = F.array(
-        F.struct(F.when(whole, 0).otherwise(F.greatest(s, F.lit(0))).cast("int").alias("a"), F.when(whole, 1440).otherwise(F.least(e, F.lit(1440))).cast("int").alias("b")),
-        F.struct(F.when(whole, 0).otherwise(F.greatest(s + 1440, F.lit(0))).cast("int").alias("a"), F.when(whole | (s >= 0), 0).otherwise(F.least(e + 1440, F.lit(1440))).cast("int").alias("b")),
-        F.struct(F.when(whole, 0).otherwise(F.greatest(s - 1440, F.lit(0))).cast("int").alias("a"), F.when(whole | (e <= 1440), 0).otherwise(F.least(e - 1440, F.lit(1440))).cast("int").alias("b")),
-    )
+    covers = (s <= 0) & (e >= 1440)
+    band = lambda a, b, when: F.when(when, F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    day = F.lit(1440)
+    inside = band(F.greatest(s, F.lit(0)), F.least(e, day), F.lit(True))
+    parts = F.array_compact(F.array(inside, band(F.lit(0), e - day, ~covers & (e > day)), band(s + day, day, ~covers & (s < 0))))
     cols = [c for c in events.columns if c not in ("s", "e")]
-    return events.select(*cols, F.explode(parts).alias("p")).select(*cols, "p.a", "p.b").filter("a < b")
+    return events.filter((e > 0) & (s < day)).select(*cols, F.explode(parts).alias("p")).select(*cols, "p.a", "p.b").filter("a < b")
 
 
 def contribution_bars(shap: DataFrame, group: list[str], value: str = "value") -> DataFrame:

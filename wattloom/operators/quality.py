@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.functions import exprs as X
 
 #: Date formats that are tried, in this order.
-DATE_FORMATS = ("dd.MM.yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyyMMdd", "dd-MM-yyyy")
+DATE_FORMATS = ("dd.MM.yyyy", "yyyy-MM-dd", "dd.MM.yy", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")
 #: Marks that count as yes.
 YES = ("ja", "x", "1", "true", "yes")
 
@@ -40,10 +40,18 @@ def null_profile(df: DataFrame, excluded: list[str] = ()) -> DataFrame:
 
 
 def best_date_format(df: DataFrame, col: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """One row (format, n_parsed, first, last): the format that reads most values, the earlier one on ties."""
-    parsed = df.agg(*[x for i, f in enumerate(formats) for x in (F.count(F.try_to_date(F.col(col), f)).alias(f"n{i}"), F.min(F.try_to_date(F.col(col), f)).alias(f"a{i}"), F.max(F.try_to_date(F.col(col), f)).alias(f"b{i}"))])
+    """One row (format, n_parsed, first, last): the format that reads most trimmed values, the earlier one on ties,
+    null if none reads any."""
+    df = df.select(F.trim(F.col(col)).alias(col))
+
+    def read(f: str):
+        day = F.try_to_date(F.col(col), f)
+        # two digits from 70 on are years of the last century
+        return day if "yyyy" in f else F.when(F.year(day) >= 2070, F.add_months(day, -1200)).otherwise(day)
+
+    parsed = df.agg(*[x for i, f in enumerate(formats) for x in (F.count(read(f)).alias(f"n{i}"), F.min(read(f)).alias(f"a{i}"), F.max(read(f)).alias(f"b{i}"))])
     rows = F.array(*[F.struct(F.col(f"n{i}").alias("n_parsed"), F.lit(-i).alias("o"), F.lit(f).alias("format"), F.col(f"a{i}").alias("first"), F.col(f"b{i}").alias("last")) for i, f in enumerate(formats)])
-    return parsed.select(F.array_max(rows).alias("r")).select("r.format", "r.n_parsed", "r.first", "r.last")
+    return parsed.select(F.array_max(rows).alias("r")).select(F.when(F.col("r.n_parsed") > 0, F.col("r.format")).alias("format"), "r.n_parsed", "r.first", "r.last")
 
 
 def file_profile(wide: DataFrame, code: str, date: str, slots: list[str], place: str | None = None, pattern: str = "dd.MM.yyyy") -> DataFrame:
@@ -60,14 +68,19 @@ def dst_days(years: tuple[int, int] = (2018, 2034)):
 
 
 def unit_guess(daily: DataFrame, total: str, limit: float = 40.0) -> DataFrame:
-    """One row: nearest quantiles of daily sums and the unit they suggest (kWh below ``limit``)."""
-    out = daily.agg(*[X.quantile_nearest(total, q).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
-    return out.withColumn("unit", F.when(F.col("p50") < limit, "kWh").otherwise("Wh"))
+    """One row: the median and nearest quantiles of daily sums, and the unit that the median suggests: energy of
+    each interval below ``limit``, power otherwise and without any sum."""
+    at = [(n, q) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]
+    out = daily.agg(F.percentile(total, F.lit(0.5)).alias("median"), *[X.quantile_nearest(total, q).alias(n) for n, q in at])
+    return out.withColumn("unit", F.when(F.col("median") < limit, "kwh_per_15min").otherwise("kw"))
 
 
 def yes_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, n) of columns with any affirmative mark."""
-    counts = df.agg(*[F.count_if(F.lower(F.trim(F.col(c).cast("string"))).isin(*YES)).alias(c) for c in cols])
+    """(column, n) of text columns with any affirmative mark; columns of other types have none."""
+    cols = [c for c in cols if dict(df.dtypes)[c] == "string"]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n long")
+    counts = df.agg(*[F.count_if(F.coalesce(F.lower(F.trim(c)).isin(*YES), F.lit(False))).alias(c) for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in cols])
     return counts.select(F.explode(rows).alias("r")).select("r.*").filter("n > 0")
 

@@ -37,10 +37,11 @@ def ramp(x: str, keys: list[str], ts: str, minutes: int) -> Column:
     return F.when(F.col(ts) - F.lag(F.col(ts)).over(w) == F.expr(f"INTERVAL {minutes} MINUTES"), F.col(x) - F.lag(x).over(w))
 
 
-def index_runs(df: DataFrame, cond: Column, keys: list[str], index: str) -> DataFrame:
-    """One row for each run of true by consecutive index: keys, s, e (exclusive), n; gaps in time don't matter."""
+def index_runs(df: DataFrame, cond: Column, keys: list[str], index: str, *more: Column) -> DataFrame:
+    """One row for each run of true by consecutive index: keys, s, e (exclusive), n, and ``more`` aggregates of its
+    rows; gaps in time don't matter."""
     hits = df.filter(F.coalesce(cond, F.lit(False))).withColumn("_w_group", F.col(index) - F.row_number().over(_order(keys, index)))
-    return hits.groupBy(*keys, "_w_group").agg(F.min(index).alias("s"), (F.max(index) + 1).alias("e"), F.count(F.lit(1)).alias("n")).drop("_w_group")
+    return hits.groupBy(*keys, "_w_group").agg(F.min(index).alias("s"), (F.max(index) + 1).alias("e"), F.count(F.lit(1)).alias("n"), *more).drop("_w_group")
 
 
 def merge_runs(runs: DataFrame, keys: list[str], gap: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -486,20 +487,25 @@ def night_baseline(spark, sf):
     return rounded(D.night_baseline(_wide_events(spark, sf)))
 
 
-_DIP = f"""{_NB}, qt AS (SELECT e.*, baseline FROM (SELECT *, max(export_kw) OVER (PARTITION BY gp_nr, day) AS top FROM ev) e JOIN nb ON nb.gp_nr = e.gp_nr WHERE is_sunny_day AND top <= 2), qh AS (SELECT *, row_number() OVER (PARTITION BY gp_nr, day ORDER BY ts) - 1 AS i FROM qt WHERE hour(ts) >= 9 AND hour(ts) < 17),
-{_index_runs('net_kw < baseline * 0.5', 'qh', 'dr', 'gp_nr, day')}, db AS (SELECT *, row_number() OVER (PARTITION BY gp_nr, day ORDER BY n DESC, s) AS r FROM dr WHERE n >= 3),
+def _dip(top: float = 2, share: float = 0.5) -> str:
+    return f"""{_NB}, qt AS (SELECT e.*, baseline FROM (SELECT *, max(export_kw) OVER (PARTITION BY gp_nr, day) AS top FROM ev) e JOIN nb ON nb.gp_nr = e.gp_nr WHERE is_sunny_day AND top <= {top}), qh AS (SELECT *, row_number() OVER (PARTITION BY gp_nr, day ORDER BY ts) - 1 AS i FROM qt WHERE hour(ts) >= 9 AND hour(ts) < 17),
+{_index_runs(f'net_kw < baseline * {share}', 'qh', 'dr', 'gp_nr, day')}, db AS (SELECT *, row_number() OVER (PARTITION BY gp_nr, day ORDER BY n DESC, s) AS r FROM dr WHERE n >= 3),
 dip AS (SELECT q.gp_nr, 'pv_generation' AS type, min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "end", 0.5 AS confidence, -min(net_kw) AS peak_kw, sum(greatest(baseline - net_kw, 0)) AS energy_kwh FROM qh q JOIN db ON q.gp_nr = db.gp_nr AND q.day = db.day AND i >= s AND i < e WHERE r = 1 GROUP BY q.gp_nr, q.day)"""
 
 
-@query(f"{_EV}, {_DIP} {_PICK} dip")
+_DIP = _dip()
+
+
+@query(f"{_EV}, {_dip(1000)} {_PICK} dip")
 def pv_dip_windows(spark, sf):
-    return _events_out(D.pv_dip_windows(_wide_events(spark, sf), D60))
+    """With a bound on export above what these buildings give back, so that there are days to look at."""
+    return _events_out(D.pv_dip_windows(_wide_events(spark, sf), replace(D60, export_kw=1000.0)))
 
 
 _HP = f"""hb AS (SELECT gp_nr, coalesce(median(import_kw) FILTER (WHERE hour(ts) < 6 AND {_SUM}), {q('import_kw', 0.1, 'hour(ts) < 6')}, 0) AS base, {corr('temperature_2m', 'import_kw', _WIN, 2)} AS r FROM ev GROUP BY 1),
 hw AS (SELECT ev.*, base, r, row_number() OVER (PARTITION BY ev.gp_nr, day ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY ev.gp_nr, day) AS rws, import_kw - base >= 0.8 AS ison FROM ev JOIN hb ON hb.gp_nr = ev.gp_nr WHERE {_WIN}),
 hs AS (SELECT *, CASE WHEN lag(ison) OVER (PARTITION BY gp_nr, day ORDER BY i) <> ison THEN 1 ELSE 0 END AS sw FROM hw), hn AS (SELECT *, sum(sw) OVER (PARTITION BY gp_nr, day ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS sws FROM hs),
-{_index_runs('ison AND hour(ts) >= 4 AND hour(ts) < 10', 'hn', 'hr', 'gp_nr, day')}, he AS (SELECT gp_nr, day, max(n) AS early FROM hr GROUP BY 1, 2),
+{_index_runs('ison', 'hn', 'hr', 'gp_nr, day')}, he AS (SELECT hr.gp_nr, hr.day, max(hr.n) AS early FROM hr JOIN hn a ON a.gp_nr = hr.gp_nr AND a.day = hr.day AND a.i = hr.s JOIN hn b ON b.gp_nr = hr.gp_nr AND b.day = hr.day AND b.i = hr.e - 1 WHERE hour(a.ts) >= 4 AND hour(b.ts) < 10 GROUP BY 1, 2),
 hd AS (SELECT gp_nr, day, max(sws) FILTER (WHERE i >= 4 OR rws <= 4) AS most, min(ts) FILTER (WHERE ison) AS "start", max(ts) FILTER (WHERE ison) + INTERVAL 1 HOUR AS "end", max(import_kw) FILTER (WHERE ison) AS peak_kw, sum(import_kw - base) FILTER (WHERE ison) AS energy_kwh, max(r) AS r FROM hn GROUP BY 1, 2),
 hp AS (SELECT hd.gp_nr, 'heat_pump_heating' AS type, "start", "end", coalesce(greatest(0.3, least(0.9, -r)), 0.5) AS confidence, peak_kw, energy_kwh FROM hd LEFT JOIN he ON he.gp_nr = hd.gp_nr AND he.day = hd.day WHERE "start" IS NOT NULL AND (most >= 3 OR coalesce(early, 0) >= 3))"""
 
@@ -601,7 +607,8 @@ def prediction_labels(spark, sf):
 
 
 @query("""WITH r AS (SELECT s_suppkey AS gp_nr, s_nationkey AS plz, CAST(round(s_acctbal * 100) AS BIGINT) AS score FROM supplier), t AS (SELECT *, row_number() OVER (PARTITION BY plz ORDER BY score DESC, gp_nr) AS turn FROM r)
-SELECT gp_nr, plz, score, CAST(turn AS INTEGER) AS turn FROM t ORDER BY turn, score DESC, gp_nr, plz LIMIT 30""")
+, g AS (SELECT plz AS p, row_number() OVER (ORDER BY score DESC, gp_nr) AS place FROM t WHERE turn = 1)
+SELECT gp_nr, plz, score, CAST(turn AS INTEGER) AS turn FROM t JOIN g ON p = plz ORDER BY turn, place LIMIT 30""")
 def featured_round_robin(spark, sf):
     r = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gp_nr"), F.col("s_nationkey").alias("plz"), F.round(F.col("s_acctbal") * 100).cast("bigint").alias("score"))
     return export.round_robin(r, "plz", [F.desc("score"), F.col("gp_nr")], 30)
@@ -625,7 +632,8 @@ def bbox(spark, sf):
 
 
 @query("""WITH e AS (SELECT event_id, CAST(hour(ts) * 60 + (event_id * 37) % 600 - 400 AS INTEGER) AS s, CAST(hour(ts) * 60 + (event_id * 37) % 600 - 400 + (event_id * 91) % 1700 AS INTEGER) AS e FROM events),
-p AS (SELECT event_id, CASE WHEN e - s >= 1440 THEN 0 ELSE greatest(s, 0) END AS a, CASE WHEN e - s >= 1440 THEN 1440 ELSE least(e, 1440) END AS b FROM e UNION ALL SELECT event_id, greatest(s + 1440, 0), least(e + 1440, 1440) FROM e WHERE e - s < 1440 AND s < 0 UNION ALL SELECT event_id, greatest(s - 1440, 0), least(e - 1440, 1440) FROM e WHERE e - s < 1440 AND e > 1440)
+k AS (SELECT *, s <= 0 AND e >= 1440 AS whole FROM e WHERE e > 0 AND s < 1440),
+p AS (SELECT event_id, greatest(s, 0) AS a, least(e, 1440) AS b FROM k UNION ALL SELECT event_id, 0, e - 1440 FROM k WHERE NOT whole AND e > 1440 UNION ALL SELECT event_id, s + 1440, 1440 FROM k WHERE NOT whole AND s < 0)
 SELECT event_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p WHERE a < b""")
 def fold_event_bands(spark, sf):
     s = (F.hour("ts") * 60 + F.col("event_id") * 37 % 600 - 400).cast("int")
@@ -681,10 +689,20 @@ def brier_precision_recall(spark, sf):
     return rounded(scoring.threshold_metrics(A.scores(spark, sf), ["source"]))
 
 
-@query(f"""WITH {A.SERIES}, f AS (SELECT gp_nr, CAST(count(*) FILTER (WHERE net_kw < -0.2) AS DOUBLE) / count(*) AS n FROM series GROUP BY 1) SELECT gp_nr, CASE WHEN n > 0.01 THEN CAST(0.6 AS DOUBLE) ELSE 0 END AS baseline_pv, CASE WHEN n > 0.01 THEN CAST(0.2 AS DOUBLE) ELSE 0 END AS baseline_battery, CAST(0 AS DOUBLE) AS baseline_ev, CAST(0 AS DOUBLE) AS baseline_heatpump FROM f""")
+_FEATURES = """f AS (SELECT p_partkey AS gp_nr, CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey % 21) / 100.0 END AS ex, CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey % 10) / -10.0 END AS rc, p_partkey % 7 AS su, p_partkey % 5 AS cl,
+  (p_partkey % 4) / 2.0 AS sw, p_partkey % 6 AS sm, p_partkey % 9 AS wn, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 3 END AS sn, (p_partkey % 8) / -10.0 AS tc, (p_partkey % 31) / 100.0 AS nz FROM part)"""
+
+
+@query(f"""WITH {_FEATURES} SELECT gp_nr, CAST(CASE WHEN ex > 0.05 THEN 0.9 WHEN rc < -0.4 AND su < cl THEN 0.7 ELSE 0.2 END AS DOUBLE) AS base_pv, CAST(CASE WHEN ex > 0.05 AND nz > 0.15 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS base_battery,
+CAST(CASE WHEN wn > 2 * sn AND tc < -0.3 THEN 0.8 ELSE 0.15 END AS DOUBLE) AS base_heat_pump, CAST(CASE WHEN sw >= 1 AND sm >= 3 THEN 0.85 ELSE 0.15 END AS DOUBLE) AS base_ev FROM f""")
 def baseline_scores(spark, sf):
-    s = A.series(spark, sf).withColumn("is_midday", F.lit(True))
-    return scoring.baseline_scores(features.aggregate(s, features.negative(T60)).select("gp_nr", "negative_consumption_ratio"))
+    """Parts as buildings whose features take all sides of the rules, nulls included."""
+    k = F.col("p_partkey")
+    rows = A.table(spark, sf, "part").select(
+        k.alias("gp_nr"), F.when(k % 13 != 0, k % 21 / F.lit(100.0)).alias("days_with_export_ratio"), F.when(k % 17 != 0, k % 10 / F.lit(-10.0)).alias("correlation_solar_radiation_consumption"), (k % 7).alias("sunny_day_midday_mean"), (k % 5).alias("cloudy_day_midday_mean"),
+        (k % 4 / F.lit(2.0)).alias("sessions_per_week"), (k % 6).alias("session_median"), (k % 9).alias("winter_night_mean_consumption"), F.when(k % 19 != 0, k % 3).alias("summer_night_mean_consumption"), (k % 8 / F.lit(-10.0)).alias("correlation_outside_temperature_consumption"), (k % 31 / F.lit(100.0)).alias("evening_near_zero_ratio"),
+    )
+    return rounded(scoring.baseline_scores(rows))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY 1) SELECT y, CAST(k AS BIGINT) AS fold, CAST(n // 5 + CASE WHEN k < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM m, range(5) t(k)""")
@@ -693,12 +711,21 @@ def stratified_fold_sizes(spark, sf):
     return scoring.stratified_folds(li, "y", 5, "id").groupBy("y", F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH f AS (SELECT s_suppkey AS gp_nr, CAST(s_suppkey % 97 AS DOUBLE) / 97 AS score FROM supplier), o AS (SELECT s_suppkey AS gp_nr, CAST(s_suppkey % 89 AS DOUBLE) / 89 AS score FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT f.gp_nr, round(coalesce(o.score, f.score), 9) AS pv_probability FROM f LEFT JOIN o ON o.gp_nr = f.gp_nr""")
+def stacked_scores(spark, sf):
+    """Out-of-fold scores where there are any, else the final model's, over fixed scores."""
+    k = F.col("s_suppkey")
+    scores = lambda m: A.table(spark, sf, "supplier").select(k.alias("gp_nr"), ((k % m) / F.lit(float(m))).alias("score"))
+    return rounded(scoring.stack(scores(89).filter("gp_nr % 3 = 0"), scores(97), "gp_nr", scoring.SECOND_STAGE))
+
+
 @query()
 def boosted_scores(spark, sf):
     """Out-of-fold scores of class-weighted trees, calibrated: suppliers' returns from their line items."""
     li = A.table(spark, sf, "lineitem")
     f = li.groupBy(F.col("l_orderkey").alias("gp_nr")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_extendedprice").alias("p"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("label")).withColumn("weight", F.lit(1.0))
-    oof, _, _ = scoring.train_boosted(f, ["q", "d", "p"], folds=2, rounds=3)
+    oof = scoring.train_boosted(f, ["q", "d", "p"]).oof
     return scoring.calibrated(scoring.calibrate(oof), oof).select("gp_nr", "fold", "label", "score", "prob")
 
 
@@ -721,14 +748,15 @@ def length_histogram(spark, sf):
     return quality.length_histogram(A.table(spark, sf, "nation"), "n_name").select(F.col("length").cast("bigint").alias("length"), "n")
 
 
-@query("SELECT 'yyyy-MM-dd' AS format, count(*) AS n_parsed, min(CAST(o_orderdate AS DATE)) AS \"first\", max(CAST(o_orderdate AS DATE)) AS \"last\" FROM orders WHERE o_orderkey % 10 <> 0")
+@query("SELECT 'dd.MM.yy' AS format, count(*) AS n_parsed, min(CAST(o_orderdate AS DATE)) AS \"first\", max(CAST(o_orderdate AS DATE)) AS \"last\" FROM orders WHERE o_orderkey % 10 BETWEEN 1 AND 6")
 def date_format_profile(spark, sf):
     o = A.table(spark, sf, "orders")
-    text = F.when(F.col("o_orderkey") % 10 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("?")
+    kind = F.col("o_orderkey") % 10
+    text = F.when(kind == 0, "?").when(kind <= 6, F.date_format("o_orderdate", " dd.MM.yy ")).when(kind == 7, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return quality.best_date_format(o.select(text.alias("d")), "d")
 
 
-@query(f"WITH {A.DAILY}, p AS (SELECT {q('daily', 0.1)} AS p10, {q('daily', 0.5)} AS p50, {q('daily', 0.9)} AS p90 FROM daily) SELECT *, CASE WHEN p50 < 40 THEN 'kWh' ELSE 'Wh' END AS unit FROM p")
+@query(f"WITH {A.DAILY}, p AS (SELECT CAST(median(daily) AS DOUBLE) AS median, {q('daily', 0.1)} AS p10, {q('daily', 0.5)} AS p50, {q('daily', 0.9)} AS p90 FROM daily) SELECT *, CASE WHEN median < 40 THEN 'kwh_per_15min' ELSE 'kw' END AS unit FROM p")
 def unit_guess(spark, sf):
     return quality.unit_guess(A.daily(spark, sf), "daily")
 
@@ -741,7 +769,7 @@ def file_profile(spark, sf):
 
 @query(f"WITH {A.FLAGS} SELECT * FROM (SELECT 'PV' AS \"column\", count(*) FILTER (WHERE pv = 'x') AS n FROM flags UNION ALL SELECT 'Batterie', count(*) FILTER (WHERE battery = 'x') FROM flags) WHERE n > 0")
 def affirmative_counts(spark, sf):
-    return quality.yes_counts(A.flags(spark, sf), ["PV", "Batterie", "plz"])
+    return quality.yes_counts(A.flags(spark, sf), ["gp_nr", "PV", "Batterie", "plz"])  # a number 1 is no mark
 
 
 @query("SELECT 'l_comment' AS \"column\", 0 AS n_null WHERE false UNION ALL SELECT 'quality', count(*) FILTER (WHERE quality IS NULL) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'toxic', count(*) FILTER (WHERE toxic IS NULL) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -25,10 +25,15 @@ def write_documents(docs: DataFrame, path: str, order: list[str] = ("featured",
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    """Writes a text file; readers see the old text or the new one."""
+    p, part = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.part"))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
+    fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"{path} could not be written")
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:
@@ -48,12 +53,19 @@ def write_manifest(spark: SparkSession, path: str, stage: str, config: dict, cou
     return entry
 
 
+def finished_files(spark: SparkSession, path: str, config: dict) -> list[tuple[str, int, int]]:
+    """The files that a manifest has, of this configuration; after a break in its writing, those of the part."""
+    text = get_text(spark, path) or get_text(spark, f"{path}.part")
+    entry = json.loads(text) if text else {"files": [], "config_hash": config_hash(config)}
+    return [tuple(f) for f in entry["files"]] if entry["config_hash"] == config_hash(config) else []
+
+
 def check_resume(spark: SparkSession, path: str, config: dict, files: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Files still to do: those that the manifest doesn't have with this size and time.
 
     A manifest of another configuration is an error, since its parts can't be mixed with new ones.
     """
-    text = get_text(spark, path)
+    text = get_text(spark, path) or get_text(spark, f"{path}.part")
     if text is None:
         return list(files)
     entry = json.loads(text)
