@@ -20,7 +20,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[ \n.,;:!?]|\Z)|[ \n]*[^ \n]+|[ \n]+").findall
 _WORD = re.compile(rf"[{_LETTERS}]+(?=[ \n.,;:!?]|\Z)|[^ \n]+").findall
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
-_ODD = re.compile(r"[^\S \n]|<\|").search
+#: What sends a text to the library whole: white space but blank and newline, and the opening of a special token.
+_ODD_ASCII = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_ODD_WIDE = tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
 _WIDE = re.compile(r"[^\x00-\xff]").search
 
 
@@ -35,12 +37,21 @@ _BYTE_LETTERS = _byte_letters()
 _BLANK = chr(_BYTE_LETTERS[32])
 
 
+def _odd(text: str) -> bool:
+    """Single searches are faster than a class of characters."""
+    return any(c in text for c in _ODD_ASCII) or (not text.isascii() and any(c in text for c in _ODD_WIDE))
+
+
 class _Known(dict):
-    """Chunk to ids; looks up what it has not met and forgets everything beyond ``room`` entries."""
+    """Chunk to ids; looks up what it has not met.
+
+    Beyond ``room`` entries it starts anew, but keeps the entries before as a second dictionary, from which chunks that
+    come again are taken over; so frequent chunks stay.
+    """
 
     def __init__(self, look_up: Callable[[str], bytes], room: int):
         super().__init__()
-        self.look_up, self.room = look_up, room
+        self.look_up, self.room, self.before = look_up, room, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > self.room:
@@ -81,7 +92,7 @@ class ChunkEncoder:
         """The ids of one whole text."""
         if not text:
             return b""
-        if _ODD(text):
+        if _odd(text):
             return self._whole(text)
         if self.ends_words and not _WIDE(text):
             text = text.lower()
