@@ -57,13 +57,13 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     at all, all targets are 0.  An empty input has no rows.
     """
     kept = C.adding(docs, _ADDED)
-    sized = docs.select(*kept, words(text).alias("size"))
+    # here, so that no text is needed after the shuffle
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.md5(text))))
+    sized = docs.select(*kept, words(text).alias("size"), drawn.alias("_w_draw"))
     per = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = water_fill(per, cap, weights).select(F.col("source").alias("_w_source"), "source_size", F.col("n").alias("_w_n"), "target")
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.md5(text))))
     rows = (
         sized.join(plan, F.col(source).eqNullSafe(F.col("_w_source")))
-        .withColumn("_w_draw", drawn)
         .withColumn("_w_salt", F.conv(F.substring("_w_draw", 1, 8), 16, 10).cast("long") % F.ceil(F.col("_w_n") / _STRATUM))
         .withColumn("_w_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     )
