@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import detectors, export, features, ingest, quality, registry, scoring, weather
-from wattloom.session import local_session
+from wattloom.session import local_session, settled
 from wattloom.sources import files, sinks
 
 ASSETS = ("pv", "ev", "heatpump", "battery")
@@ -79,15 +79,25 @@ def run_export(spark, a) -> None:
     days = shown.select("gp_nr", F.col("showcase_date").alias("day"))
     buildings, probs = spark.read.parquet(a.buildings), spark.read.parquet(a.predictions)
     labels = spark.read.parquet(a.labels)
-    meters = series.groupBy("gp_nr").agg(F.max("num_mp_with_data").alias("num_mp_ids"))
-    ranked = export.featured_candidates(probs, labels, shown.select("gp_nr", "n_event_types"), meters, a.min_types).join(buildings.select("gp_nr", "plz"), "gp_nr")
-    featured = export.round_robin(ranked, "plz", [F.desc("agree"), F.desc("total"), F.col("gp_nr")], a.featured)
-    found = featured.agg(F.count(F.lit(1)), F.count_distinct("plz")).first()
-    if found[0] < a.featured or found[1] < a.min_plz:
-        print(f"featured: {found[0]} of {a.featured}, over {found[1]} places ({a.min_plz} wanted)", file=sys.stderr)
-    others = export.sample_others(buildings, featured, a.others)
-    chosen = buildings.join(featured.select("gp_nr").unionByName(others), "gp_nr", "left_semi")
-    sinks.write_documents(export.documents(chosen, probs, export.day_grid(series, days), export.day_events(events, days), export.ground_truth(labels), featured), a.out)
+    table = spark.read.parquet(a.feature_table) if a.feature_table else None
+    kept = None if a.recurate else export.pinned(sinks.get_text(spark, f"{a.out}_selection.json"))
+    if kept is None:
+        meters = series.groupBy("gp_nr").agg(F.max("num_mp_with_data").alias("num_mp_ids"))
+        ranked = export.featured_candidates(probs, labels, shown.select("gp_nr", "n_event_types"), meters, a.min_types).join(buildings.select("gp_nr", "plz"), "gp_nr")
+        # both lists are bounded by --featured and --others
+        best = export.round_robin(ranked, "plz", [F.desc("agree"), F.desc("total"), F.col("gp_nr")], a.featured).select("gp_nr", "plz").collect()
+        if len(best) < a.featured or len({r.plz for r in best}) < a.min_plz:
+            print(f"featured: {len(best)} of {a.featured}, over {len({r.plz for r in best})} places ({a.min_plz} wanted)", file=sys.stderr)
+        taken = spark.createDataFrame([(r.gp_nr,) for r in best], "gp_nr bigint")
+        kept = [r.gp_nr for r in best], [r.gp_nr for r in export.sample_others(buildings, taken, a.others).collect()]
+        sinks.put_text(spark, f"{a.out}_selection.json", export.selection_text(*kept))
+    featured, chosen = (spark.createDataFrame([(k,) for k in keys], "gp_nr bigint") for keys in (kept[0], kept[0] + kept[1]))
+    shown_events = export.day_events(events, days)
+    docs = settled(export.documents(buildings.join(chosen, "gp_nr", "left_semi"), probs, export.day_grid(series, days), shown_events, export.ground_truth(labels), featured, table), "documents")
+    wrong = export.document_violations(docs).head(5)
+    if wrong:
+        raise ValueError(f"documents break the schema: {wrong}")
+    sinks.write_documents(docs, a.out)
 
 
 def run_check(spark, a) -> None:
@@ -132,6 +142,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--rounds", type=int, default=20)
             p.add_argument("--show-labels", action="store_true")
         if name == "export":
+            p.add_argument("--feature-table")
+            p.add_argument("--recurate", action="store_true", help="choose anew instead of the selection kept beside the output")
             p.add_argument("--min-plz", type=int, default=5)
             p.add_argument("--featured", type=int, default=10)
             p.add_argument("--others", type=int, default=200)

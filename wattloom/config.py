@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 #: Hours [start, end) of dayparts; night wraps in the feature table.
 FEATURE_DAYPARTS = {"night": (22, 6), "morning": (6, 10), "midday": (10, 16), "evening": (16, 22)}
 DETECTOR_DAYPARTS = {"night": (0, 6), "morning": (6, 10), "midday": (10, 16), "evening": (17, 22)}
 SUMMER, WINTER = (6, 7, 8), (12, 1, 2)
 #: Half-open temperature bins in degrees Celsius.
-TEMPERATURE_BINS = {"below_0": (None, 0.0), "0_5": (0.0, 5.0), "5_10": (5.0, 10.0), "10_15": (10.0, 15.0), "15_20": (15.0, 20.0), "above_20": (20.0, None)}
+TEMPERATURE_BINS = {"below_minus5": (None, -5.0), "minus5_to_0": (-5.0, 0.0), "0_to_5": (0.0, 5.0), "5_to_10": (5.0, 10.0), "10_to_15": (10.0, 15.0), "above_15": (15.0, None)}
 ASSETS = ("pv", "ev", "heatpump", "battery")
 
 
@@ -58,3 +61,43 @@ class DetectorConfig:
     day_rows: int = 96
     showcase_confidence: float = 0.6
     dayparts: dict = field(default_factory=lambda: DETECTOR_DAYPARTS)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Where things are; without a registry folder, the registry is in the data folder."""
+
+    data_dir: str = "data/load"
+    registry_dir: str | None = None
+    weather_dir: str = "data/weather"
+    store_dir: str = "data/store"
+
+    @property
+    def registry_root(self) -> str:
+        return self.registry_dir or self.data_dir
+
+
+def settings_from(env: Mapping[str, str] = os.environ, prefix: str = "WATTLOOM_") -> Settings:
+    """Settings with those replaced that the environment has as PREFIX_NAME; names in any case, empty ones don't count."""
+    known = {k.upper(): v for k, v in env.items()}
+    return Settings(**{f.name: known[name] for f in fields(Settings) if known.get(name := f"{prefix}{f.name}".upper())})
+
+
+@dataclass(frozen=True)
+class Config:
+    features: Thresholds = Thresholds()
+    events: DetectorConfig = DetectorConfig()
+
+
+def config_from(text: str | None = None) -> Config:
+    """Defaults with those replaced that a JSON text of the same nesting names; unknown names are errors."""
+    out = Config()
+    for section, values in json.loads(text or "{}").items():
+        if section not in {f.name for f in fields(Config)}:
+            raise ValueError(f"unknown section {section!r}")
+        part = getattr(out, section)
+        unknown = set(values) - {f.name for f in fields(part)}
+        if unknown:
+            raise ValueError(f"unknown in {section}: {', '.join(sorted(unknown))}")
+        out = replace(out, **{section: replace(part, **{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})})
+    return out

@@ -155,3 +155,44 @@ def top_contributions(pairs: str | Column, k: int = 6) -> Column:
     """Of array<struct<feature, value>>: the k largest by magnitude, as tanh(value / 2) to 3 decimals."""
     ranked = F.array_sort(col(pairs), lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(F.abs(a["value"]) < F.abs(b["value"]), 1).when(a["feature"] < b["feature"], -1).otherwise(1))
     return F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["feature"].alias("feature"), F.round(F.tanh(x["value"] / 2), 3).alias("contribution")))
+
+
+def local_to_utc(ts: str | Column, zone: str = "Europe/Zurich") -> Column:
+    """Local naive time as UTC: the earlier of two instants where the clock goes back, null where it skips the time."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), col(ts))
+    return F.when(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc) == col(ts), utc)
+
+
+def minutes_from(ts: str | Column, start: str | Column) -> Column:
+    return F.timestamp_diff("SECOND", col(start), col(ts)) / F.lit(60.0)
+
+
+def _half_up(x: Column) -> Column:
+    return F.floor(x + F.lit(0.5)).cast("bigint")
+
+
+def hour_tick(minute: str | Column) -> Column:
+    """0 is 00, 240 is 04, 1440 is 24."""
+    return F.format_string("%02d", _half_up(col(minute) / F.lit(60.0)))
+
+
+def clock(minute: str | Column) -> Column:
+    """1335 is 22:15."""
+    whole = _half_up(col(minute))
+    return F.format_string("%02d:%02d", F.floor(whole / 60).cast("bigint"), whole % 60)
+
+
+#: Short names of the assets.
+SHORT_NAMES = {"pv": "PV", "battery": "Battery", "heatpump": "Heat pump", "ev": "EV"}
+
+
+def prediction_text(asset: str, p: str | Column) -> Column:
+    """A percent as a sentence, as in EV — 76% possible; null and NaN count as 0."""
+    x = clip(F.coalesce(F.nanvl(col(p).cast("double"), F.lit(0.0)), F.lit(0.0)), 0.0, 100.0)
+    return F.concat(F.lit(f"{SHORT_NAMES[asset]} — "), _half_up(x).cast("string"), F.lit("% "), F.lower(confidence_label(p)))
+
+
+def signed(value: str | Column) -> Column:
+    """Two decimals with a sign; the minus is the typographic one."""
+    v = col(value)
+    return F.concat(F.when(v < 0, "−").otherwise("+"), F.format_string("%.2f", F.abs(v)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.config import ASSETS
 from wattloom.functions import exprs as X
+from wattloom.operators import reasons as R
 
 KEY = "gp_nr"
 
@@ -40,22 +41,6 @@ def percents(predictions: DataFrame) -> DataFrame:
     return predictions.select(KEY, *[X.percent(f"prob_{a}").alias(a) for a in ASSETS])
 
 
-def reasons(templates: list[tuple[Column, str, list[Column]]], fallback: str, most: int = 3) -> Column:
-    """The first ``most`` sentences whose condition holds and whose values are all there; else the fallback."""
-    made = [F.when(F.coalesce(c, F.lit(False)) & reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v.cast("double")) for v in values], F.lit(True)), F.format_string(text, *values)) for c, text, values in templates]
-    kept = F.slice(F.array_compact(F.array(*made)), 1, most)
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.lit(fallback))
-
-
-def human_label(name: str | Column, known: dict[str, str]) -> Column:
-    """Label of a feature; an unknown one is its name with blanks and a capital."""
-    c = X.col(name)
-    plain = F.replace(c, F.lit("_"), F.lit(" "))
-    pretty = F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1000)))
-    table = F.create_map(*[F.lit(v) for kv in known.items() for v in kv]) if known else F.lit(None).cast("map<string,string>")
-    return F.coalesce(F.try_element_at(table, c), pretty)
-
-
 def building_id(key: str | Column, prefix: str = "AG") -> Column:
     return F.concat(F.lit(f"{prefix}-"), X.col(key).cast("string"))
 
@@ -64,25 +49,96 @@ def parse_building_id(text: str | Column, prefix: str = "AG") -> Column:
     return F.nullif(F.regexp_extract(X.col(text), rf"^{prefix}-(\d+)$", 1), F.lit("")).try_cast("bigint")
 
 
-def documents(buildings: DataFrame, predictions: DataFrame, grid: DataFrame, events: DataFrame, truth: DataFrame, featured: DataFrame) -> DataFrame:
-    """Nested documents: (gp_nr, featured, document: JSON), featured first when written in order."""
-    points = grid.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ts", "net_kw"))), lambda p: F.struct(X.local_iso(p["ts"]).alias("time"), p["net_kw"].alias("kw"))).alias("electricity"), F.min("day").alias("profileDate"))
-    shown = events.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "start", "end", "confidence"))), lambda e: F.struct(e["type"].alias("type"), X.local_iso(e["start"]).alias("start"), X.local_iso(e["end"]).alias("end"), F.round(e["confidence"], 2).alias("confidence"))).alias("events"))
-    probs = percents(predictions).select(KEY, F.struct(*ASSETS).alias("predictions"))
-    j = buildings.join(probs, KEY).join(points, KEY, "left").join(shown, KEY, "left").join(truth, KEY, "left").join(featured.select(KEY).withColumn("featured", F.lit(True)), KEY, "left")
+#: Names of the assets in documents, in their order there, and what documents say of the method.
+DOCUMENT_ASSETS = {"pv": "pv", "battery": "battery", "heatpump": "heatPump", "ev": "ev"}
+MODEL = "LightGBM gradient-boosted trees, one per asset"
+INPUTS = ("15-minute import and export load profiles",)
+ADDITIONAL_DATA = ("Open-Meteo hourly weather per postcode",)
+METHOD = "SHAP"
+METHOD_DESCRIPTION = "SHAP shows which features contributed most to the prediction."
+EVENT_KINDS = ("ev_charging", "pv_generation", "heat_pump_heating", "battery_cycle", "high_consumption")
+
+
+def documents(buildings: DataFrame, predictions: DataFrame, grid: DataFrame, events: DataFrame, truth: DataFrame, featured: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Nested documents: (gp_nr, featured, document: JSON), featured first when written in order.
+
+    predictions: prob_ and, if any, shap_ of each asset; a null probability is 0.  features: the feature table, from
+    which reasons are made; a building that it lacks gets one general sentence.  Null fields stay in the JSON.
+    """
+    iso = X.local_iso
+    points = grid.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ts", "net_kw"))), lambda p: F.struct(iso(p["ts"]).alias("timestamp"), p["net_kw"].alias("powerKw"))).alias("electricity"), F.min("day").alias("profileDate"))
+    shown = events.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "start", "end", "confidence"))), lambda e: F.struct(e["type"].alias("type"), iso(e["start"]).alias("start"), iso(e["end"]).alias("end"), F.bround(e["confidence"], 3).alias("confidence"))).alias("events"))
+    scores = [F.coalesce(F.col(f"prob_{a}"), F.lit(0.0)).alias(f"_w_prob_{a}") for a in DOCUMENT_ASSETS]
+    shap = [(F.col(f"shap_{a}") if f"shap_{a}" in predictions.columns else F.lit(None).cast("array<struct<feature:string,contribution:double>>")).alias(f"_w_shap_{a}") for a in DOCUMENT_ASSETS]
+    table = predictions.select(KEY).withColumn("_w_known", F.lit(False)).limit(0) if features is None else features.drop("plz", *[c for c in features.columns if c.startswith("label_")]).withColumn("_w_known", F.lit(True))
+    names = [c for c, t in table.dtypes if c not in (KEY, "_w_known") and t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    table = table.select(F.col(KEY), "_w_known", F.struct(*[F.col(c) for c in names], F.lit(0).alias("_w")).alias("_w_f"))
+    j = buildings.join(predictions.select(KEY, *scores, *shap), KEY).join(points, KEY, "left").join(shown, KEY, "left").join(truth, KEY, "left").join(table, KEY, "left")
+    j = j.join(featured.select(KEY).distinct().withColumn("featured", F.lit(True)), KEY, "left").withColumn("events", F.coalesce("events", F.array().cast("array<struct<type:string,start:string,end:string,confidence:double>>")))
+
+    def explained(asset: str) -> Column:
+        lines = R.reasons(asset, {n: F.col(f"_w_f.`{n}`") for n in names}, F.col(f"_w_prob_{asset}"), R.has_type(F.col("events"), R.EVENT_TYPES[asset]), F.col("_w_known"))
+        return F.struct(lines.alias("reasons"), R.labelled(F.col(f"_w_shap_{asset}")).alias("shap"))
+
+    texts = lambda values: F.array(*[F.lit(v) for v in values])
+    explanation = F.struct(
+        F.lit(MODEL).alias("model"), texts(INPUTS).alias("inputs"), texts(ADDITIONAL_DATA).alias("additionalData"), F.lit(METHOD).alias("method"), F.lit(METHOD_DESCRIPTION).alias("methodDescription"),
+        F.struct(*[explained(a).alias(n) for a, n in DOCUMENT_ASSETS.items()]).alias("assets"),
+    )
     doc = F.struct(
-        building_id(KEY).alias("id"), F.col("plz").alias("postcode"), F.coalesce("city", "plz").alias("city"), F.coalesce("canton", F.lit("AG")).alias("canton"), "predictions", "electricity",
-        F.coalesce("events", F.array().cast("array<struct<type:string,start:string,end:string,confidence:double>>")).alias("events"), F.coalesce("featured", F.lit(False)).alias("featured"), "profileDate", "groundTruth",
+        building_id(KEY).alias("id"), F.col("plz").alias("postcode"), F.coalesce("city", "plz").alias("city"), F.coalesce("canton", F.lit("AG")).alias("canton"),
+        F.struct(*[X.percent(f"_w_prob_{a}").alias(n) for a, n in DOCUMENT_ASSETS.items()]).alias("predictions"), "electricity", "events", explanation.alias("explanation"),
+        F.coalesce("featured", F.lit(False)).alias("featured"), F.col("profileDate").cast("string").alias("profileDate"),
+        F.when(F.col("groundTruth").isNotNull(), F.struct(*[F.col(f"groundTruth.{a}").alias(n) for a, n in DOCUMENT_ASSETS.items()])).alias("groundTruth"), F.array().cast("array<string>").alias("history"),
     )
-    return j.select(KEY, F.coalesce("featured", F.lit(False)).alias("featured"), F.to_json(doc).alias("document"))
+    return j.select(KEY, F.coalesce("featured", F.lit(False)).alias("featured"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
+#: The schema that documents must have.
+_EXPLAINED = "struct<reasons:array<string>,shap:array<struct<feature:string,contribution:double>>>"
+DOCUMENT = (
+    "id string, postcode string, city string, canton string, predictions struct<pv:int,battery:int,heatPump:int,ev:int>, electricity array<struct<timestamp:string,powerKw:double>>, "
+    "events array<struct<type:string,start:string,end:string,confidence:double>>, explanation struct<model:string,inputs:array<string>,additionalData:array<string>,method:string,methodDescription:string,"
+    f"assets:struct<pv:{_EXPLAINED},battery:{_EXPLAINED},heatPump:{_EXPLAINED},ev:{_EXPLAINED}>>, featured boolean, profileDate string, groundTruth struct<pv:boolean,battery:boolean,heatPump:boolean,ev:boolean>, "
+    "history array<struct<year:int,predictions:struct<pv:int,battery:int,heatPump:int,ev:int>>>"
+)
+
+
+def document_violations(docs: DataFrame) -> DataFrame:
+    """(gp_nr, problem) of documents that miss a field, have one too many on top, a percent outside 0..100, an event of
+    an unknown kind or a confidence outside 0..1; text that is no such JSON is a problem too."""
+    top = ("id", "postcode", "city", "canton", "predictions", "electricity", "events", "explanation", "featured", "profileDate", "groundTruth", "history")
+    d = docs.select(KEY, F.from_json("document", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"), F.json_object_keys("document").alias("keys"))
+    has = lambda c, text: F.when(F.coalesce(c, F.lit(True)), F.lit(text))
+    bad = [has(F.col(f"d.{f}").isNull(), f"{f} is missing") for f in ("id", "postcode", "city", "canton", "electricity", "events", "explanation")]
+    bad += [has(~F.col(f"d.predictions.{a}").between(0, 100), f"{a} is no percent") for a in DOCUMENT_ASSETS.values()]
+    bad += [has(F.size(F.array_except("keys", F.array(*[F.lit(t) for t in top]))) > 0, "unknown field")]
+    bad += [has(F.exists("d.events", lambda e: ~e["type"].isin(*EVENT_KINDS)), "unknown kind of event"), has(F.exists("d.events", lambda e: F.coalesce(~e["confidence"].between(0, 1), F.lit(False))), "confidence out of range")]
+    return d.select(KEY, F.explode(F.array_compact(F.array(*bad))).alias("problem"))
+
+
+def pinned(selection: str | None) -> tuple[list[int], list[int]] | None:
+    """Featured and other buildings of a selection file's text; None without one."""
+    if selection is None:
+        return None
+    data = json.loads(selection)
+    return [int(k) for k in data.get("featured", [])], [int(k) for k in data.get("others", [])]
+
+
+def selection_text(featured: list[int], others: list[int]) -> str:
+    return json.dumps({"featured": featured, "others": others}, indent=1)
+
+
+def place_label(code: str | Column, name: str | Column) -> Column:
+    """Code and name of a place; the bare code where the name is unknown."""
+    return F.concat_ws(" ", X.col(code), X.col(name))
 
 
-def violations(docs: DataFrame, predictions: list[str] = ASSETS) -> DataFrame:
-    """(gp_nr, problem) of rows with percents outside 0..100 or confidences outside 0..1; none if all is well."""
-    bad = [F.when(~F.col(a).between(0, 100) | F.col(a).isNull(), F.lit(f"{a} is no percent")) for a in predictions]
-    if "confidence" in docs.columns:
-        bad.append(F.when(~F.col("confidence").between(0, 1), F.lit("confidence out of range")))
-    return docs.select(KEY, F.explode(F.array_compact(F.array(*bad))).alias("problem"))
+def highlighted(areas: DataFrame, hovered: str | None, chosen: str | None, key: str = "plz", count: str = "n") -> DataFrame:
+    """Areas with has_buildings, is_active (hovered or chosen) and outlined (hovered and not chosen as well)."""
+    active = [x for x in dict.fromkeys([hovered, chosen]) if x is not None]
+    k = F.col(key)
+    return areas.select("*", (F.col(count) > 0).alias("has_buildings"), k.isin(*active).alias("is_active") if active else F.lit(False).alias("is_active"), (k == hovered if hovered is not None and hovered != chosen else F.lit(False)).alias("outlined"))
 
 
 def featured_candidates(predictions: DataFrame, labels: DataFrame, n_types: DataFrame, meters: DataFrame, least_types: int = 3, least_assets: int = 2, sure: float = 0.8) -> DataFrame:

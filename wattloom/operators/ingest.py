@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions import exprs as X
 
+#: Slot labels and channel codes of the input.
 SLOT = re.compile(r"(?:[01]\d|2[0-3]):[0-5]\d")
 IMPORT, EXPORT = "1-1:1.29.0*255", "1-1:2.29.0*255"
 
@@ -24,6 +25,14 @@ def unpivot_slots(wide: DataFrame, ids: list[str], date: str, slot: int = 15) ->
     return long.select(*ids, start.alias("ts"), "value")
 
 
+def to_wide(long: DataFrame, ids: list[str], slot: int = 15, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Long rows to a row for each day: a column for each slot, named after the interval's end; the last is 00:00."""
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    ends = {m: f"{(m + slot) // 60 % 24:02d}:{(m + slot) % 60:02d}" for m in range(0, 1440, slot)}
+    cells = [F.max(F.when(F.col("_w_minute") == m, F.col(value))).alias(name) for m, name in ends.items()]
+    return long.withColumns({"day": F.to_date(ts), "_w_minute": minute}).groupBy(*ids, "day").agg(*cells)
+
+
 def pivot_channels(readings: DataFrame, meter: list[str], channel: str = "channel", value: str = "kw") -> DataFrame:
     """Rows by channel to import_kw and export_kw for each meter and time.
 
@@ -40,10 +49,16 @@ def pivot_channels(readings: DataFrame, meter: list[str], channel: str = "channe
     return out.withColumn("net_kw", F.col("import_kw") - F.col("export_kw"))
 
 
-def sum_meters(series: DataFrame, expected: DataFrame, building: str = "gp_nr", ts: str = "ts", meter: str = "mp_id") -> DataFrame:
+#: How the meters of a building combine: a column and the number of meters to one value.
+STRATEGIES = {"sum": X.complete_sum}
+
+
+def sum_meters(series: DataFrame, expected: DataFrame, building: str = "gp_nr", ts: str = "ts", meter: str = "mp_id", strategy: str = "sum") -> DataFrame:
     """Meters to buildings: sums are null unless every expected meter is there with a value."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     joined = series.join(expected, building)
-    sums = {c: X.complete_sum(c, F.max("expected_meters")) for c in ("import_kw", "export_kw", "net_kw")}
+    sums = {c: STRATEGIES[strategy](c, F.max("expected_meters")) for c in ("import_kw", "export_kw", "net_kw")}
     return joined.groupBy(building, ts).agg(*[v.alias(k) for k, v in sums.items()], F.count_distinct(F.when(F.col("net_kw").isNotNull(), F.col(meter))).alias("num_mp_with_data"))
 
 

@@ -187,7 +187,7 @@ def subset_metrics(scored: DataFrame, asset: str, scorer: str) -> DataFrame:
 
 #: Order of training, and the names of the rule baselines.
 TRAIN_ORDER = {"pv": "base_pv", "heatpump": "base_heat_pump", "ev": "base_ev", "battery": "base_battery"}
-SECOND_STAGE = "pv_probability"
+SECOND_STAGE = "pv_prob"
 
 
 def train_assets(table: DataFrame, labels: DataFrame, features: list[str], folds: int = 5, rounds: int = 20, seed: int = 0, top: int = 6, key: str = "gp_nr") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from wattloom.config import DetectorConfig, Thresholds
 from wattloom.functions import exprs as X
 from wattloom.operators import detectors as D
-from wattloom.operators import export, features, ingest, quality, registry, runs, scoring, weather
+from wattloom.operators import export, features, ingest, quality, reasons, registry, runs, scoring, weather
 from wattloom.plans import adapters as A
+from wattloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,12 +242,14 @@ def weather_hourly_join(spark, sf):
     return rounded(_joined(spark, sf).select("gp_nr", "ts", "net_kw", "temperature_2m", "shortwave_radiation"))
 
 
-_BINS = "".join(f", CASE WHEN count(net_kw) FILTER (WHERE {c}) >= 20 THEN round(avg(net_kw) FILTER (WHERE {c}), 9) END AS mean_consumption_T_{n}" for n, c in (("below_0", "temperature_2m < 0"), ("0_5", "temperature_2m >= 0 AND temperature_2m < 5"), ("5_10", "temperature_2m >= 5 AND temperature_2m < 10"), ("10_15", "temperature_2m >= 10 AND temperature_2m < 15"), ("15_20", "temperature_2m >= 15 AND temperature_2m < 20"), ("above_20", "temperature_2m >= 20")))
+_BINS = "".join(f", CASE WHEN count(net_kw) FILTER (WHERE {c}) >= 20 THEN round(avg(net_kw) FILTER (WHERE {c}), 9) END AS mean_consumption_T_{n}" for n, c in (("below_minus5", "t < -5"), ("minus5_to_0", "t >= -5 AND t < 0"), ("0_to_5", "t >= 0 AND t < 5"), ("5_to_10", "t >= 5 AND t < 10"), ("10_to_15", "t >= 10 AND t < 15"), ("above_15", "t >= 15")))
 
 
-@query(f"{_WX} SELECT gp_nr{_BINS} FROM j GROUP BY 1")
+@query(f"{_WX} SELECT gp_nr{_BINS} FROM (SELECT *, temperature_2m * 3 - 15 AS t FROM j) GROUP BY 1")
 def temperature_bins(spark, sf):
-    return rounded(features.aggregate(_joined(spark, sf), features.temperature_means()))
+    """Temperatures spread so that all bins have rows."""
+    j = _joined(spark, sf).withColumn("temperature_2m", F.col("temperature_2m") * 3 - 15)
+    return rounded(features.aggregate(j, features.temperature_means()))
 
 
 def _sun(group: str) -> str:
@@ -411,7 +414,19 @@ def high_load_ratios(spark, sf):
     return rounded(features.aggregate(s.withColumns({f"is_{k}": X.in_hours(F.hour("ts"), w) for k, w in FEATURE_DAYPARTS.items()}), features.high_load(T60)))
 
 
-@query()
+def _whole() -> str:
+    """Cohort, the parts' own SQL, and labels, joined by building."""
+    bins = _BINS.replace("t < ", "temperature_2m < ").replace("t >= ", "temperature_2m >= ")
+    sun = f"""{_WX}, d AS (SELECT plz, CAST(ts AS DATE) AS day, sum(shortwave_radiation) AS x FROM weather GROUP BY 1, 2), b AS (SELECT plz, {q('x', 0.25)} AS lo, {q('x', 0.75)} AS hi FROM d GROUP BY 1), c AS (SELECT d.plz, day, x >= hi AS sunny, x <= lo AS cloudy FROM d JOIN b ON d.plz = b.plz)
+SELECT gp_nr, round(avg(net_kw) FILTER (WHERE {_MID} AND sunny), 9) AS sunny_day_midday_mean, round(avg(net_kw) FILTER (WHERE {_MID} AND cloudy), 9) AS cloudy_day_midday_mean FROM j LEFT JOIN c ON j.plz = c.plz AND CAST(ts AS DATE) = c.day GROUP BY 1"""
+    names = ("near_zero_blocks", "daypart_means", "negative_ratios", "solar_correlation", "event_counts", "power_distribution", "ramp_stats", "high_load_ratios", "export_day_ratio", "session_features")
+    parts = [ORACLES[n] for n in names] + [sun, f"{_WX} SELECT gp_nr{bins} FROM j GROUP BY 1"]
+    labels = ORACLES["labels_three_valued"]
+    joins = " ".join(f"LEFT JOIN ({sql}) AS p{i} USING (gp_nr)" for i, sql in enumerate(parts))
+    return f"SELECT * FROM (WITH {A.SERIES} SELECT gp_nr, min(plz) AS plz FROM series GROUP BY 1) AS c {joins} LEFT JOIN (SELECT * REPLACE (gp_nr + 100000 AS gp_nr) FROM ({labels})) AS l USING (gp_nr)"
+
+
+@query(_whole())
 def feature_table(spark, sf):
     """The whole table: cohort, all features, labels."""
     s = weather.join_days(_joined(spark, sf), weather.sun_class(weather.daily_sum(A.weather(spark, sf), "shortwave_radiation"), ["plz"]))
@@ -712,7 +727,7 @@ def stratified_fold_sizes(spark, sf):
 
 
 @query("""WITH f AS (SELECT s_suppkey AS gp_nr, CAST(s_suppkey % 97 AS DOUBLE) / 97 AS score FROM supplier), o AS (SELECT s_suppkey AS gp_nr, CAST(s_suppkey % 89 AS DOUBLE) / 89 AS score FROM supplier WHERE s_suppkey % 3 = 0)
-SELECT f.gp_nr, round(coalesce(o.score, f.score), 9) AS pv_probability FROM f LEFT JOIN o ON o.gp_nr = f.gp_nr""")
+SELECT f.gp_nr, round(coalesce(o.score, f.score), 9) AS pv_prob FROM f LEFT JOIN o ON o.gp_nr = f.gp_nr""")
 def stacked_scores(spark, sf):
     """Out-of-fold scores where there are any, else the final model's, over fixed scores."""
     k = F.col("s_suppkey")
@@ -781,3 +796,215 @@ def null_counts(spark, sf):
 @query("SELECT i AS year, CAST(date_trunc('month', make_date(CAST(i AS BIGINT), 4, 1)) AS DATE) - CAST(dayofweek(make_date(CAST(i AS BIGINT), 3, 31)) AS INTEGER) - 1 AS day FROM range(2018, 2035) t(i)")
 def dst_forward_days(spark, sf):
     return spark.range(2018, 2035).select(F.col("id").alias("year"), X.last_sunday(F.col("id").cast("int"), 3).alias("day"))
+
+
+# ---- cells, keys and paths -------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey AS VARCHAR) || ',25' WHEN 1 THEN ' ' || CAST(o_custkey AS VARCHAR) || '.5 ' WHEN 2 THEN '  ' WHEN 3 THEN 'NaN' WHEN 4 THEN 'n/a' END AS cell FROM orders),
+v AS (SELECT *, TRY_CAST(replace(trim(cell), ',', '.') AS DOUBLE) AS x FROM t) SELECT o_orderkey, CASE WHEN NOT isnan(x) THEN x * 4 END AS kw, nullif(trim(cell), '') AS text FROM v""")
+def lenient_numbers(spark, sf):
+    """Cells with decimal commas, blanks and junk as numbers, and blanks as nulls."""
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    cell = F.when(k == 0, F.concat(c, F.lit(",25"))).when(k == 1, F.concat(F.lit(" "), c, F.lit(".5 "))).when(k == 2, "  ").when(k == 3, "NaN").when(k == 4, "n/a")
+    return A.table(spark, sf, "orders").select("o_orderkey", X.decimal(cell, 4.0).alias("kw"), X.blank_to_null(cell).alias("text"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '00' || CAST(o_custkey AS VARCHAR) || '.0' WHEN 1 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' WHEN 2 THEN 'GP ' || CAST(o_custkey AS VARCHAR) || ' (old 7)' ELSE '000' END AS cell FROM orders)
+SELECT o_orderkey, nullif(regexp_replace(regexp_replace(trim(cell), '\\.0$', ''), '^0+', ''), '') AS key, TRY_CAST(nullif(regexp_extract(cell, '(\\d+)', 1), '') AS BIGINT) AS digits FROM t""")
+def normal_keys(spark, sf):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    cell = F.when(k == 0, F.concat(F.lit("00"), c, F.lit(".0"))).when(k == 1, F.concat(F.lit(" "), c, F.lit(" "))).when(k == 2, F.concat(F.lit("GP "), c, F.lit(" (old 7)"))).otherwise("000")
+    return A.table(spark, sf, "orders").select("o_orderkey", X.clean_key(cell).alias("key"), X.first_digits(cell).alias("digits"))
+
+
+@query("SELECT o_orderkey, 'AG-' || CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS parsed FROM orders")
+def building_ids(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey", export.building_id("o_orderkey").alias("id"))
+    return o.select("o_orderkey", "id", export.parse_building_id(F.when(F.col("o_orderkey") % 3 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id"))).alias("parsed"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '/in/' || CAST(1000 + o_custkey % 8000 AS VARCHAR) || '/2024-03.csv.gz' WHEN 1 THEN '/in/2023/wx_' || CAST(1000 + o_custkey % 8000 AS VARCHAR) || '.csv' WHEN 2 THEN '/in/2022/load_202204.csv' ELSE '/in/notes.txt' END AS p FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN regexp_extract(p, '/([0-9]{4})/[^/]+$', 1) WHEN 1 THEN '2023' WHEN 2 THEN '2022' END AS place, CASE WHEN o_orderkey % 4 = 0 AND regexp_matches(p, '/(19|20)[0-9]{2}/[^/]+$') THEN CAST(regexp_extract(p, '/([0-9]{4})/', 1) AS INTEGER) WHEN o_orderkey % 4 = 1 THEN 2023 WHEN o_orderkey % 4 = 2 THEN 2022 END AS year,
+CASE WHEN o_orderkey % 4 = 0 THEN 3 WHEN o_orderkey % 4 = 2 THEN 4 WHEN o_orderkey % 4 = 1 THEN TRY_CAST(nullif(regexp_extract(p, '(?:19|20)[0-9]{2}[-_]?(0[1-9]|1[0-2])[^/]*$', 1), '') AS INTEGER) END AS month FROM t""")
+def path_keys(spark, sf):
+    """Places, years and months that paths name."""
+    k, c = F.col("o_orderkey") % 4, (F.col("o_custkey") % 8000 + 1000).cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/in/"), c, F.lit("/2024-03.csv.gz"))).when(k == 1, F.concat(F.lit("/in/2023/wx_"), c, F.lit(".csv"))).when(k == 2, "/in/2022/load_202204.csv").otherwise("/in/notes.txt")
+    year, month = files.period_from_path(path)
+    return A.table(spark, sf, "orders").select("o_orderkey", files.place_from_path(path).alias("place"), year.alias("year"), month.alias("month"))
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS v, c_mktsegment AS kind, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT s_nationkey, CAST(s_suppkey AS DOUBLE), NULL, s_name FROM supplier")
+def relaxed_union(spark, sf):
+    """Parts with other types and columns."""
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("kind"))
+    return files.union_relaxed([c, A.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v"), F.col("s_name").alias("name"))])
+
+
+@query(f"""WITH r AS (SELECT user_id AS mp_id, CAST(ts AS DATE) AS day, hour(ts) AS h, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1, 2, 3)
+SELECT mp_id, day, {", ".join(f'max(CASE WHEN h = {h} THEN v END) AS "{(h + 1) % 24:02d}:00"' for h in range(24))} FROM r GROUP BY 1, 2""")
+def long_to_wide(spark, sf):
+    e = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("mp_id"), F.date_trunc("hour", F.col("ts")).alias("ts")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("value"))
+    return ingest.to_wide(e, ["mp_id"], 60)
+
+
+@query("SELECT DISTINCT l_suppkey FROM lineitem")
+def distinct_keys(spark, sf):
+    return files.distinct_keys(A.table(spark, sf, "lineitem"), "l_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 = 0)")
+def key_look_up(spark, sf):
+    wanted = A.table(spark, sf, "supplier").filter("s_nationkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return files.look_up(A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_suppkey", wanted)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, o_custkey AS size, o_custkey % 7 AS mtime FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 5 = 0")
+def unfinished_files(spark, sf):
+    """Files that a manifest doesn't have with their size and time."""
+    f = A.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), (F.col("o_custkey") % 7).alias("mtime"))
+    done = f.filter(F.col("path").cast("bigint") % 3 == 0).withColumn("size", F.when(F.col("size") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return ingest.resume_filter(f, done)
+
+
+# ---- places, labels, weather -----------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS gp_nr, coalesce(s_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END) AS plz FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def filled_places(spark, sf):
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("gp_nr"), F.col("c_nationkey").alias("plz"))
+    seen = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gp_nr"), F.col("s_nationkey").alias("plz"))
+    return registry.fill_place(c.select("gp_nr"), seen, c.filter("gp_nr % 5 <> 0"))
+
+
+@query(f"""WITH {A.FLAGS}, f AS (SELECT CASE pv WHEN 'x' THEN 1 WHEN '-' THEN 0 END AS a, CASE battery WHEN 'x' THEN 1 WHEN '-' THEN 0 END AS b FROM flags), r AS (SELECT CASE WHEN a = 1 THEN 1 ELSE 0 END AS label, CASE WHEN a IS NULL THEN 'unlabeled' ELSE 'registry' END AS source FROM f WHERE a IS NOT NULL OR b IS NULL)
+SELECT 'pv' AS asset, CAST(label AS TINYINT) AS label, source, count(*) AS n FROM r GROUP BY 2, 3""")
+def label_counts(spark, sf):
+    f = A.flags(spark, sf).select(F.col("doc_id").alias("gp_nr"), X.mark_to_flag("PV").alias("label_pv"), X.mark_to_flag("Batterie").alias("label_battery"), F.lit(None).cast("date").alias("commissioned_pv"))
+    return registry.label_counts(registry.training_labels(f, "pv", others=["pv", "battery"]))
+
+
+@query("SELECT round(CAST(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R') AS DOUBLE) / sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 9) AS scale_pos_weight FROM lineitem")
+def class_weight(spark, sf):
+    li = A.table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.round("l_quantity").cast("bigint").alias("weight"))
+    return rounded(scoring.class_weight(li))
+
+
+@query(f"""WITH {A.WEATHER} SELECT plz, ts, round(coalesce(last_value(shortwave_radiation IGNORE NULLS) OVER (PARTITION BY plz ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(shortwave_radiation IGNORE NULLS) OVER (PARTITION BY plz ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS shortwave_radiation,
+CASE WHEN temperature_2m IS NOT NULL THEN round(greatest(15 - temperature_2m, 0), 9) END AS heating FROM weather""")
+def filled_weather(spark, sf):
+    """Gaps filled forward, then backward; heating degrees of the temperature as it is."""
+    w = weather.fill_both_ways(A.weather(spark, sf), ["shortwave_radiation"], "plz", "ts")
+    return rounded(w.select("plz", "ts", "shortwave_radiation", weather.heating_degrees().alias("heating")))
+
+
+_LOCAL = "WITH t AS (SELECT event_id, date_trunc('hour', ts) + to_days(CAST((event_id * 7) % 365 AS INTEGER)) + to_minutes(CAST((event_id * 13) % 240 AS INTEGER)) AS ts FROM events), u AS (SELECT *, timezone('UTC', timezone('Europe/Zurich', ts)) AS late FROM t), v AS (SELECT *, CASE WHEN timezone('Europe/Zurich', timezone('UTC', late - INTERVAL 1 HOUR)) = ts THEN late - INTERVAL 1 HOUR WHEN timezone('Europe/Zurich', timezone('UTC', late)) = ts THEN late END AS utc FROM u)"
+
+
+@query(f"{_LOCAL} SELECT event_id, utc, CASE WHEN utc IS NOT NULL THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts - utc = INTERVAL 2 HOUR THEN '+02:00' ELSE '+01:00' END END AS iso FROM v")
+def local_times(spark, sf):
+    """Local times of a year as UTC and as ISO texts; times that the clock skips are null here."""
+    e = F.col("event_id")
+    shifted = F.date_trunc("hour", F.col("ts")) + F.make_dt_interval((e * 7 % 365).cast("int"), F.lit(0), (e * 13 % 240).cast("int"))
+    t = A.table(spark, sf, "events").select("event_id", shifted.cast("timestamp_ntz").alias("ts")).withColumn("utc", X.local_to_utc("ts"))
+    return t.select("event_id", "utc", F.when(F.col("utc").isNotNull(), X.local_iso("ts")).alias("iso"))
+
+
+@query("""WITH t AS (SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS m FROM events) SELECT event_id, CAST(m AS DOUBLE) AS minute, printf('%02d', CAST(floor(m / 60.0 + 0.5) AS BIGINT)) AS tick, printf('%02d:%02d', m // 60, m % 60) AS clock FROM t""")
+def minute_axis(spark, sf):
+    e = A.table(spark, sf, "events").select("event_id", X.minutes_from(F.date_trunc("minute", F.col("ts")), F.date_trunc("day", F.col("ts"))).alias("minute"))
+    return e.select("event_id", "minute", X.hour_tick("minute").alias("tick"), X.clock("minute").alias("clock"))
+
+
+# ---- texts, contributions, areas -------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_discount * 100) AS BIGINT) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Heat pump — ' || CAST(k * 10 AS VARCHAR) || '% ' || CASE WHEN k >= 8 THEN 'likely' WHEN k >= 5 THEN 'possible' ELSE 'unlikely' END AS text,
+CASE WHEN k < 5 THEN '−' ELSE '+' END || printf('%.2f', abs(k - 5) / 100.0) AS contribution FROM t""")
+def prediction_texts(spark, sf):
+    k = F.round(F.col("l_discount") * 100).cast("bigint")
+    return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.prediction_text("heatpump", k * 10).alias("text"), X.signed((k - 5) / F.lit(100.0)).alias("contribution"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Peak load' WHEN 1 THEN 'Mean load above 15 °C' ELSE 'Mean ' || lower(c_mktsegment) END AS label FROM customer")
+def human_labels(spark, sf):
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, "max_consumption").when(k == 1, "mean_consumption_T_above_15").otherwise(F.concat(F.lit("mean_"), F.col("c_mktsegment")))
+    return A.table(spark, sf, "customer").select("c_custkey", reasons.human_label(name).alias("label"))
+
+
+_SAY_F = "f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey % 21) / 70.0 END AS ex, CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey % 10 + 1) / -70.3 END AS rc, (p_partkey % 7) / 3.0 AS su, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 5) / 3.0 END AS cl, (p_partkey % 9 + 1) / 7.0 AS wn, CASE WHEN p_partkey % 19 <> 0 THEN (p_partkey % 3) / 7.0 END AS sn FROM part)"
+_PCT = "CAST(CAST(round_even(ex * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
+_FIRST = "list_filter([{}], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {_SAY_F}, r AS (SELECT k, CASE WHEN k % 2 = 0 THEN {_FIRST.format(f"{_PCT} || ' of days feed power back to the grid', 'Net load correlates with solar radiation (r = ' || printf('%.2f', rc) || ')', 'Midday net load is ' || printf('%.1f', su) || ' kW on sunny days vs ' || printf('%.1f', cl) || ' kW on cloudy days'")}
+ELSE {_FIRST.format(f"'Only ' || {_PCT} || ' of days show any export to the grid', 'Midday net load does not follow solar radiation (r = ' || printf('%.2f', rc) || ')', 'No midday reduction in net load'")} END AS pv,
+CASE WHEN k % 2 = 0 THEN {_FIRST.format("CASE WHEN sn > 0 THEN 'Winter nights use ' || printf('%.1f', wn / sn) || '× the power of summer nights' END")} ELSE {_FIRST.format("CASE WHEN sn > 0 THEN 'Winter and summer night loads are similar (' || printf('%.1f', wn / sn) || '×)' END")} END AS hp FROM f)
+SELECT k AS gp_nr, CASE WHEN len(pv) = 0 THEN 'Consumption pattern is consistent with a PV system' ELSE array_to_string(pv, '; ') END || CASE WHEN k % 4 = 0 THEN '; Visible on the selected day as a highlighted band' ELSE '' END AS pv,
+CASE WHEN len(hp) > 0 THEN array_to_string(hp, '; ') WHEN k % 2 = 0 THEN 'Consumption pattern is consistent with a heat pump' ELSE 'No sign of a heat pump in the consumption pattern' END AS heatpump FROM r""")
+def reason_lines(spark, sf):
+    """Parts as buildings whose features take all sides of the sentences, nulls included."""
+    k = F.col("p_partkey")
+    x = {
+        "days_with_export_ratio": F.when(k % 13 != 0, k % 21 / F.lit(70.0)), "correlation_solar_radiation_consumption": F.when(k % 17 != 0, (k % 10 + 1) / F.lit(-70.3)), "sunny_day_midday_mean": k % 7 / F.lit(3.0),
+        "cloudy_day_midday_mean": F.when(k % 5 != 0, k % 5 / F.lit(3.0)), "winter_night_mean_consumption": (k % 9 + 1) / F.lit(7.0), "summer_night_mean_consumption": F.when(k % 19 != 0, k % 3 / F.lit(7.0)),
+    }
+    prob = F.when(k % 2 == 0, 0.5).otherwise(0.49)
+    text = lambda asset, shown=None: F.array_join(reasons.reasons(asset, x, prob, shown), "; ").alias(asset)
+    return A.table(spark, sf, "part").select(k.alias("gp_nr"), text("pv", k % 4 == 0), text("heatpump"))
+
+
+@query("""WITH v AS (SELECT s_suppkey AS k, 'f' || CAST(i AS VARCHAR) AS feature, ((s_suppkey * 13 + i * 29) % 101 - 50) / 10.0 AS value FROM supplier, range(8) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY abs(value) DESC, feature) AS rank FROM v)
+SELECT k, CAST(rank AS INTEGER) AS rank, feature, round(tanh(value / 2), 3) AS contribution FROM r WHERE rank <= 6""")
+def top_contributions(spark, sf):
+    k = F.col("s_suppkey")
+    pairs = F.array(*[F.struct(F.lit(f"f{i}").alias("feature"), (((k * 13 + i * 29) % 101 - 50) / F.lit(10.0)).alias("value")) for i in range(8)])
+    top = A.table(spark, sf, "supplier").select(k.alias("k"), F.posexplode(X.top_contributions(pairs)).alias("i", "x"))
+    return top.select("k", (F.col("i") + 1).alias("rank"), "x.feature", "x.contribution")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, v AS value, round(v / max(v) OVER (PARTITION BY l_orderkey), 9) AS share FROM (SELECT *, CAST(round(l_tax * 100) AS BIGINT) - 4 AS v FROM lineitem) WHERE v > 0")
+def contribution_shares(spark, sf):
+    li = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(F.col("l_tax") * 100).cast("bigint") - 4).alias("value"))
+    return rounded(export.contribution_bars(li, ["l_orderkey"]))
+
+
+@query("SELECT CAST(min(embedding[1]) AS DOUBLE) AS west, CAST(min(embedding[2]) AS DOUBLE) AS south, CAST(max(embedding[1]) AS DOUBLE) AS east, CAST(max(embedding[2]) AS DOUBLE) AS north FROM embeddings")
+def union_box(spark, sf):
+    return export.union_box(bbox(spark, sf))
+
+
+@query("SELECT n_nationkey AS plz, count(c_custkey) AS n, concat_ws(' ', CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 4 <> 0 THEN n_name END) AS label, count(c_custkey) > 0 AS has_buildings, n_nationkey IN (3, 7) AS is_active, n_nationkey = 3 AS outlined FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 0 GROUP BY n_nationkey, n_name")
+def map_areas(spark, sf):
+    """Areas with counts, labels and what a pointer on 3 and a choice of 7 make of them."""
+    areas = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("plz"), export.place_label(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name"))).alias("label"))
+    c = A.table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("plz"))  # so that some areas have none
+    return export.highlighted(export.with_counts(areas, export.count_by(c, "plz"), "plz"), "3", "7")
+
+
+@query("""WITH f AS (SELECT s_suppkey AS k, [s_suppkey * 3 % 101, s_suppkey * 5 % 101, s_suppkey * 7 % 101, s_suppkey * 11 % 101] AS p, [s_suppkey % 2, s_suppkey % 3, s_suppkey % 5, s_suppkey % 2] AS l FROM supplier), a AS (SELECT *, CAST(list_sum([CASE WHEN p[i] >= 60 AND l[i] = 0 THEN 1 ELSE 0 END FOR i IN [1, 2, 3, 4]]) AS INTEGER) AS agree FROM f)
+SELECT k AS gp_nr, agree, round(CAST(list_sum(p) AS DOUBLE) / 100, 9) AS total FROM a WHERE k % 7 > 0 AND k % 4 >= 1 AND agree >= 2""")
+def featured_candidates(spark, sf):
+    k = F.col("s_suppkey")
+    s = A.table(spark, sf, "supplier")
+    per = lambda f, name: s.select(k.alias("gp_nr"), *[f(m).alias(f"{name}_{a}") for a, m in name_of.items()])
+    name_of = {"pv": 3, "ev": 5, "heatpump": 7, "battery": 11}
+    probs = per(lambda m: k * m % 101 / F.lit(100.0), "prob")
+    name_of = {"pv": 2, "ev": 3, "heatpump": 5, "battery": 2}
+    labels = per(lambda m: (k % m == 0).cast("int"), "label")
+    kinds, meters = s.select(k.alias("gp_nr"), (k % 4 + 2).cast("int").alias("n_event_types")), s.select(k.alias("gp_nr"), F.when(k % 7 == 0, 2).otherwise(1).alias("num_mp_ids"))
+    return rounded(export.featured_candidates(probs, labels, kinds, meters, sure=0.6).select("gp_nr", "agree", "total"))
+
+
+@query(f"""WITH {A.SERIES}, p AS (SELECT gp_nr, min(plz) AS plz, coalesce(sum(round(net_kw, 3)) FILTER (WHERE CAST(ts AS DATE) = {_DAY} AND minute(ts) = 0), 0) AS total FROM series GROUP BY 1)
+SELECT gp_nr, 'AG-' || CAST(gp_nr AS VARCHAR) AS id, plz AS postcode, plz AS city, 'AG' AS canton, CAST(gp_nr * 3 % 101 AS INTEGER) AS pv, CAST(gp_nr * 11 % 101 AS INTEGER) AS battery, 96 AS points, round(total, 6) AS total, gp_nr % 3 = 0 AS featured, '2024-01-10' AS day,
+CASE WHEN gp_nr % 2 = 0 THEN true END AS truth, 'Prediction based on the building''s 15-minute load profile' AS reason FROM p""")
+def document_fields(spark, sf):
+    """Fields of the documents, read back from their JSON."""
+    d = document_json(spark, sf).select("gp_nr", F.from_json("document", export.DOCUMENT).alias("d"))
+    return d.select(
+        "gp_nr", "d.id", "d.postcode", "d.city", "d.canton", "d.predictions.pv", "d.predictions.battery", F.size("d.electricity").alias("points"),
+        F.round(F.aggregate("d.electricity", F.lit(0.0), lambda a, x: a + x["powerKw"]), 6).alias("total"), "d.featured", F.col("d.profileDate").alias("day"), F.col("d.groundTruth.heatPump").alias("truth"), F.col("d.explanation.assets.ev.reasons")[0].alias("reason"),
+    )

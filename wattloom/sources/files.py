@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
+    """Names in the first line, read as UTF-8 or, where it is none, as Latin-1."""
     line = first_line(spark, path)
+    if "\ufffd" in line:
+        line = spark.read.option("encoding", "ISO-8859-1").option("delimiter", "\x01").option("quote", "").csv(path).head()[0]
     return [c.strip().strip('"') for c in line.split(sniff(line))] if line else []
 
 
@@ -130,3 +134,8 @@ def assert_schema(df: DataFrame, schema, exact: bool = True) -> DataFrame:
     if wrong or (exact and list(have) != list(want)):
         raise ValueError(f"schema differs: {wrong or sorted(set(have) ^ set(want)) or 'order of columns'}")
     return df
+
+
+def union_relaxed(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts: columns by name, missing ones null, each with the widest of its types."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
