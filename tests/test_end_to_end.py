@@ -1,5 +1,6 @@
 """Stages by command line on synthetic buildings; explanations; the viewer."""
 
+import json
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -51,11 +52,37 @@ def test_stages(spark, store):
     assert cli.main(["export", *args]) == 0
     view = api.Viewer(spark, at("docs"), at("in/series"))
     assert view.health()["buildings"] == 2 and view.buildings(query="aarau").count() == 1 and view.counts().first().n == 2
+    doc = json.loads(view.building("AG-1"))
+    assert doc["featured"] and list(doc["predictions"]) == ["pv", "battery", "heatPump", "ev"] and doc["groundTruth"]["heatPump"] is False and doc["groundTruth"]["battery"] is None
+    assert len(doc["electricity"]) == 96 and doc["electricity"][0]["timestamp"].endswith("+02:00") and doc["explanation"]["assets"]["ev"]["reasons"][0].startswith("Prediction based on")
+    kept = json.loads((store / "docs_selection.json").read_text())
+    assert kept == {"featured": [1], "others": [2]}
+    (store / "docs_selection.json").write_text('{"featured": [2], "others": []}')
+    assert cli.main(["export", *args, "--feature-table", at("features")]) == 0  # the kept selection counts
+    only = [json.loads(r.value) for r in spark.read.text(at("docs")).collect()]
+    assert [(d["id"], d["featured"]) for d in only] == [("AG-2", True)] and "Only 0.0 high-load sessions per week" in only[0]["explanation"]["assets"]["ev"]["reasons"]
+    assert cli.main(["export", *args, "--recurate"]) == 0
+    view = api.Viewer(spark, at("docs"), at("in/series"))
     assert '"featured":true' in view.building("AG-1") and view.profile("AG-1", "2024-06-02").count() == 96
     for bad in (lambda: view.building("AG-9"), lambda: view.profile("AG-1", "2020-01-01"), lambda: view.profile("x", "2024-06-02")):
         with pytest.raises(api.Unknown):
             bad()
-    assert cli.main(["check-data", "--load", at("load/day1.csv")]) == 0 and cli.main(["preview", "--load", at("none")]) == 1
+    assert cli.main(["check-data", "--load", at("load/day1.csv"), "--mapping", at("mapping"), "--weather", at("weather"), "--report", at("report.md")]) == 0
+    report = (store / "report.md").read_text()
+    assert "## unit" in report and "## ambiguous" in report and "## weather" in report
+    assert cli.main(["preview", "--load", at("none")]) == 1
+
+
+@pytest.mark.parametrize("utc", [True, False])
+def test_weather_by_path(spark, tmp_path, utc):
+    name, first = ("timestamp_utc", "2024-06-01T10:00:00Z") if utc else ("time", "2024-06-01T12:00")
+    rows = [first, first.replace("T10", "T11").replace("T12", "T13")]
+    for place in ("5000", "8000"):
+        (tmp_path / "in" / place).mkdir(parents=True)
+        (tmp_path / "in" / place / "2024-06.csv").write_text(f"{name},temperature_2m,precipitation\n{rows[0]},1.5,2\n{rows[1]},2.5,3\n")
+    assert cli.main(["weather", "--load", str(tmp_path / "in"), "--out", str(tmp_path / "out")]) == 0
+    got = sorted((str(r.plz), r.ts.hour, r.temperature_2m, r.precipitation) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(p, h, t, x) for p in ("5000", "8000") for h, t, x in ((12, 1.5, 3.0), (13, 2.5, None))]
 
 
 def test_a_broken_ingest_goes_on(spark, store, monkeypatch):

@@ -66,3 +66,9 @@ def test_streams_resume_and_sum(spark, tmp_path):
     assert spark.read.parquet(out).agg(F.sum("total")).first()[0] == 15.0
     batch = live.live_sessions(spark.read.parquet(src), "ts", ["k"], "v", 4.0)
     assert sorted(r.n for r in batch.collect()) == [1, 2]
+
+
+def test_headers_in_latin_1(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Zähler;Ort\n1;2\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("Zähler;Ort\n1;2\n".encode())
+    assert files.header(spark, str(tmp_path / "a.csv")) == files.header(spark, str(tmp_path / "b.csv")) == ["Zähler", "Ort"]

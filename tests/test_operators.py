@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.config import DetectorConfig, Thresholds
 from wattloom.functions import exprs as X
-from wattloom.operators import detectors, export, features, ingest, quality, registry, runs, scoring, weather
+from wattloom.operators import detectors, export, features, ingest, quality, reasons, registry, runs, scoring, weather
 
 
 def at(day, minutes):
@@ -296,3 +296,52 @@ def test_quality(spark):
 def test_feature_table_has_all_features(spark, kind):
     assert len(kind(Thresholds())) + len(["days_with_export_ratio"]) + 15 >= 60
     assert DetectorConfig().ev_window == 32
+
+
+def test_local_times_that_are_twice_or_never_there(spark):
+    df = spark.createDataFrame([(at("2024-03-31", 150),), (at("2024-10-27", 150),), (at("2024-07-01", 0),)], "t timestamp_ntz")
+    assert [r.u for r in df.select(X.local_to_utc("t").alias("u")).collect()] == [None, at("2024-10-27", 30), at("2024-06-30", 22 * 60)]
+
+
+def test_reasons_and_formats(spark):
+    say = lambda asset, prob, **f: value(spark, F.array_join(reasons.reasons(asset, {k: F.col(k) for k in f}, F.lit(prob)), "|"), **f)
+    assert say("pv", 0.5, days_with_export_ratio=0.125) == "12% of days feed power back to the grid"
+    assert say("pv", 0.2, correlation_solar_radiation_consumption=-0.001) == "Midday net load does not follow solar radiation (r = -0.00)|No midday reduction in net load"
+    assert say("heatpump", 0.9, winter_night_mean_consumption=1.0, summer_night_mean_consumption=0.0) == "Consumption pattern is consistent with a heat pump"
+    assert say("battery", 0.9, near_zero_interval_ratio=float("nan")) == "Consumption pattern is consistent with a battery"
+    assert say("ev", 0.9, evening_start_ratio=0.5, night_start_ratio=0.25) == "75% of sessions start in the evening or at night"
+
+
+def test_documents_are_checked(spark):
+    good = '{"id":"AG-1","postcode":"5000","city":"Aarau","canton":"AG","predictions":{"pv":1,"battery":2,"heatPump":3,"ev":100},"electricity":[],"events":[{"type":"ev_charging","start":"a","end":"b","confidence":null}],"explanation":{"model":"m"},"featured":true}'
+    bad = {2: good.replace('"ev":100', '"ev":101'), 3: good.replace("ev_charging", "other"), 4: good.replace("null", "1.5"), 5: good.replace('"city":"Aarau",', ""), 6: good[:-1] + ',"more":1}', 7: "no json"}
+    rows = spark.createDataFrame([(1, good), *bad.items()], "gp_nr bigint, document string")
+    found = {}
+    for r in export.document_violations(rows).collect():
+        found.setdefault(r.gp_nr, []).append(r.problem)
+    assert found.pop(7) and found == {2: ["ev is no percent"], 3: ["unknown kind of event"], 4: ["confidence out of range"], 5: ["city is missing"], 6: ["unknown field"]}
+
+
+def test_settings_and_overrides():
+    from wattloom.config import Config, config_from, settings_from
+
+    s = settings_from({"WATTLOOM_DATA_DIR": "/d", "wattloom_store_dir": "/s", "WATTLOOM_WEATHER_DIR": "", "DATA_DIR": "x"})
+    assert (s.data_dir, s.store_dir, s.weather_dir, s.registry_root) == ("/d", "/s", "data/weather", "/d")
+    c = config_from('{"events": {"ev_run": 5, "hp_hours": [3, 9]}}')
+    assert (c.events.ev_run, c.events.hp_hours, c.features) == (5, (3, 9), Config().features) and config_from() == Config()
+    for text in ('{"other": {}}', '{"events": {"nothing": 1}}'):
+        with pytest.raises(ValueError, match="unknown"):
+            config_from(text)
+
+
+def test_unknown_strategy_is_an_error(spark):
+    with pytest.raises(ValueError, match="unknown strategy"):
+        ingest.sum_meters(spark.range(1), spark.range(1), strategy="mean")
+
+
+def test_wide_files_come_back(spark):
+    long = spark.createDataFrame([("m", at("2024-01-01", 15 * i), float(i)) for i in range(96)], "mp_id string, ts timestamp_ntz, value double")
+    wide = ingest.to_wide(long, ["mp_id"])
+    assert wide.columns[2:4] == ["00:15", "00:30"] and wide.columns[-1] == "00:00"
+    back = ingest.unpivot_slots(wide, ["mp_id"], "day")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, long.collect()))

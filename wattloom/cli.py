@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.config import INTERVAL_END
+from wattloom.functions import exprs as X
 from wattloom.operators import detectors, export, features, ingest, quality, registry, scoring, weather
 from wattloom.session import local_session, settled
 from wattloom.sources import files, sinks
@@ -36,11 +39,17 @@ def run_ingest(spark, a) -> None:
 
 
 def run_weather(spark, a) -> None:
-    raw = files.read_delimited(spark, a.load)
-    cols = [c for c in raw.columns if c not in ("PLZ", "timestamp_utc")]
-    parsed = raw.select(F.col("PLZ").alias("plz"), F.try_to_timestamp("timestamp_utc").cast("timestamp_ntz").alias("utc"), *[F.col(c).try_cast("double").alias(c) for c in cols])
-    local = weather.first_per_hour(weather.to_local(parsed.withColumn("ts", F.col("utc")), "ts"), ["plz", "ts"], "utc").drop("utc")
-    sinks.write_table(weather.relabel_by_time(local, [c for c in cols if c in ("shortwave_radiation", "sunshine_duration")]), a.out, by=["plz"], sort=["ts"])
+    """Hourly files to local interval starts by place.  The place is a column or comes from the path; times are UTC
+    (timestamp_utc) or local already (time)."""
+    found = files.list_files(spark, a.load)
+    raw = files.read_delimited(spark, a.load, files.sniff(files.first_line(spark, found[0][0])))
+    place, utc = files.find_column(raw.columns, "PLZ"), files.find_column(raw.columns, "timestamp_utc")
+    time = utc or files.find_column(raw.columns, "time")
+    cols = [c for c in raw.columns if c not in (place, time)]
+    parsed = raw.select((F.col(place) if place else files.place_from_path()).alias("plz"), F.try_to_timestamp(F.col(time)).cast("timestamp_ntz").alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in cols])
+    parsed = parsed.filter("plz is not null and ts is not null").withColumn("utc", F.col("ts"))
+    local = weather.first_per_hour(weather.to_local(parsed, "ts") if utc else parsed, ["plz", "ts"], "utc").drop("utc")
+    sinks.write_table(weather.relabel_by_time(local, [c for c in cols if c in INTERVAL_END]), a.out, by=["plz"], sort=["ts"])
 
 
 def run_features(spark, a) -> None:
@@ -101,13 +110,34 @@ def run_export(spark, a) -> None:
 
 
 def run_check(spark, a) -> None:
+    """The quality report: columns, channels and the unit of the load files; of a registry the dates, marks and empty
+    cells; of a mapping the meters that lead nowhere or to several buildings; of weather the gaps."""
     df = files.read_delimited(spark, a.load)
     slots = ingest.slot_columns(df)
     parts = {"columns": quality.null_profile(df)}
+    find = lambda *names: files.find_column(df.columns, *names)
     if slots:
-        parts["channels"] = quality.file_profile(df, files.find_column(df.columns, "OBIS-Code"), files.find_column(df.columns, "Datum"), slots, files.find_column(df.columns, "PLZ"))
+        parts["channels"] = quality.file_profile(df, find("OBIS-Code"), find("Datum"), slots, find("PLZ"))
+        imported = df.filter(F.col(f"`{find('OBIS-Code')}`") == ingest.IMPORT)
+        parts["unit"] = quality.unit_guess(imported.select(X.total_of([X.decimal(f"`{c}`") for c in slots]).alias("total")), "total")
+        parts["clock_forward"] = df.filter(F.array_contains(quality.dst_days(), F.try_to_date(F.col(f"`{find('Datum')}`"), "dd.MM.yyyy"))).agg(F.count(F.lit(1)).alias("n_rows"))
+    if a.registry:
+        reg = files.read_delimited(spark, a.registry)
+        parts |= {"registry": quality.null_profile(reg), "marks": quality.yes_counts(reg, reg.columns)}
+        parts |= {f"dates of {c}": quality.best_date_format(reg, c) for c in reg.columns if "datum" in c.lower()}
+    if a.mapping and slots:
+        mapping = spark.read.parquet(a.mapping)
+        meters = df.select(F.trim(F.col(f"`{find('MP ID')}`")).alias("mp_id"))
+        n = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"))
+        parts |= {"meters": n(files.distinct_keys(meters, "mp_id")), "unmapped": n(registry.unmapped(meters, mapping.select("mp_id").distinct())), "ambiguous": n(registry.ambiguous(mapping))}
+    if a.weather:
+        parts["weather"] = weather.gap_report(spark.read.parquet(a.weather))
+    sections: dict[str, list] = {}
     for r in quality.report(parts).collect():
         print(r.section, r.row)
+        sections.setdefault(r.section, []).append(json.loads(r.row))
+    if a.report:
+        sinks.put_text(spark, a.report, sinks.markdown_report(sections))
 
 
 def run_preview(spark, a) -> None:
@@ -137,6 +167,9 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--limit-files", type=int)
         if name == "features":
             p.add_argument("--labels")
+        if name == "check-data":
+            for x in ("registry", "mapping", "weather", "report"):
+                p.add_argument(f"--{x}")
         if name == "train":
             p.add_argument("--folds", type=int, default=5)
             p.add_argument("--rounds", type=int, default=20)

@@ -13,6 +13,8 @@ DETECTOR_DAYPARTS = {"night": (0, 6), "morning": (6, 10), "midday": (10, 16), "e
 SUMMER, WINTER = (6, 7, 8), (12, 1, 2)
 #: Half-open temperature bins in degrees Celsius.
 TEMPERATURE_BINS = {"below_minus5": (None, -5.0), "minus5_to_0": (-5.0, 0.0), "0_to_5": (0.0, 5.0), "5_to_10": (5.0, 10.0), "10_to_15": (10.0, 15.0), "above_15": (15.0, None)}
+#: Weather columns whose values name the end of their hour.
+INTERVAL_END = ("shortwave_radiation", "direct_radiation", "diffuse_radiation", "sunshine_duration", "precipitation", "snowfall")
 ASSETS = ("pv", "ev", "heatpump", "battery")
 
 

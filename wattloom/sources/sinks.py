@@ -25,9 +25,13 @@ def write_documents(docs: DataFrame, path: str, order: list[str] = ("featured",
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a text file; readers see the old text or the new one."""
+    """Writes a text file; readers see the old text or the new one.  On a mounted file system it has no checksum
+    beside it, so that it may be edited by hand."""
     p, part = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.part"))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        fs = fs.getRawFileSystem()
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.crc"), False)
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
